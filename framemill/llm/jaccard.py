@@ -32,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, U64, Scratch, mix, table, words_of
 
 GROWTH, SPARE = 1.4, 4
 BLOCK, FANOUT = 512, 16
+#: A list of ids up to this size (8 MB) is broadcast; a longer one is joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 # ------------------------------------------------------------------------------------------------- sets and points
@@ -90,15 +92,30 @@ def point(sh: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(cut)
     content = mix(total[cut[1:]] - total[cut[:-1]] + np.arange(groups, dtype=U64) * U64(0xD1342543DE82EF95) + U64(groups << 40))
     full = counts > 0
-    return counts, content if (~full).sum() > SPARE else content[full]
+    return counts, content, content if (~full).sum() > SPARE else content[full]
 
 
-FEATURES = "doc_id long, n long, set_a long, set_b long, points array<struct<band:int, counts:binary, cells:array<long>>>"
+def pack(counts: np.ndarray, content: np.ndarray) -> bytes:
+    """Group counts (1 or 4 bytes each, as the first byte says) and a byte of each group's content hash."""
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes() + (content & U64(255)).astype(np.uint8).tobytes()
 
 
-def _features(n: int, bands: Bands):
-    point_type = pa.struct([("band", pa.int32()), ("counts", pa.binary()), ("cells", pa.list_(pa.int64()))])
+def unpack(data) -> tuple[np.ndarray, np.ndarray]:
+    width = data[0]
+    groups = (len(data) - 1) // (width + 1)
+    return np.frombuffer(data, dtype=f"<u{width}", count=groups, offset=1).astype(np.int32), np.frombuffer(data, dtype=np.uint8, offset=1 + width * groups)
+
+
+def most(p: np.ndarray, p_mark: np.ndarray, q: np.ndarray, q_mark: np.ndarray) -> np.ndarray:
+    """Greatest possible overlap: summed coordinate minima, less one for groups of equal counts and unequal content."""
+    return np.minimum(p, q).sum(axis=-1) - ((p == q) & (p_mark != q_mark) & (p > 0)).sum(axis=-1)
+
+
+FEATURES = "doc_id long, n long, set_a long, set_b long, bands array<int>, counts array<binary>, cells array<array<long>>"
 
+
+def _features(n: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for lo, off, _, _, (h,), _ in words_of(b.column(1), SPACES):
@@ -110,16 +127,16 @@ def _features(n: int, bands: Bands):
                         continue
                     size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
                     for x in bands.of(len(sh)):
-                        v, cell = point(sh, bands.groups(x))
+                        v, content, cell = point(sh, bands.groups(x))
                         owner.append(k)
                         band.append(x)
-                        counts.append(v.astype(np.uint32).tobytes())
+                        counts.append(pack(v, content))
                         cells.append(cell)
                 cell_off = np.concatenate(([0], np.cumsum([len(x) for x in cells], dtype=np.int64))).astype(np.int32)
                 flat = np.concatenate(cells).view(np.int64) if cells else np.zeros(0, np.int64)
-                points = pa.StructArray.from_arrays([pa.array(band, pa.int32()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(cell_off), pa.array(flat))], fields=list(point_type))
-                own = np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(off))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.ListArray.from_arrays(pa.array(own), points)], ["doc_id", "n", "set_a", "set_b", "points"])
+                own = pa.array(np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(off))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(own, x) for x in (pa.array(band, pa.int32()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(cell_off), pa.array(flat)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), *lists], ["doc_id", "n", "set_a", "set_b", "bands", "counts", "cells"])
 
     return run
 
@@ -130,8 +147,8 @@ def _features(n: int, bands: Bands):
 class RTree:
     """Points packed into leaves of FANOUT by size and first coordinates, boxes of boxes above them."""
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.order = points, np.lexsort((points[:, 0], points.sum(axis=1)))
+    def __init__(self, points: np.ndarray, marks: np.ndarray):
+        self.points, self.marks, self.order = points, marks, np.lexsort((points[:, 0], points.sum(axis=1)))
         low = high = points[self.order]
         self.levels = []
         while True:
@@ -141,8 +158,8 @@ class RTree:
             if len(low) == 1:
                 break
 
-    def search(self, p: np.ndarray, bands: Bands) -> np.ndarray:
-        """Indexes of the points whose summed minima with p reach the overlap that a link needs."""
+    def search(self, p: np.ndarray, mark: np.ndarray, bands: Bands) -> np.ndarray:
+        """Indexes of the points whose greatest overlap with p reaches what a link needs."""
         size, nodes = int(p.sum()), np.zeros(1, dtype=np.int64)
         for least, high in reversed(self.levels):
             nodes = nodes[nodes < len(high)]
@@ -151,28 +168,26 @@ class RTree:
             nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         own = self.order[nodes[nodes < len(self.points)]]
         q = self.points[own]
-        return own[np.minimum(q, p).sum(axis=1) >= bands.need(size, q.sum(axis=1))]
+        return own[most(q, self.marks[own], p, mark) >= bands.need(size, q.sum(axis=1))]
 
 
 def _tree_join(bands: Bands):
-    """Pairs of different classes in one block that their points allow."""
+    """Pairs of different classes in one block that their points allow, each in the first block that has both."""
 
     def run(batches):
         for b in batches:
             left, right = [], []
-            for row in b.column(0):
-                m = row.as_py()
-                if len({x["c"] for x in m}) < 2:
-                    continue
+            for block, members in zip(b.column(0).to_pylist(), b.column(1)):
+                m = members.as_py()
                 ids, classes, side = (np.array([x[k] for x in m]) for k in ("d", "c", "s"))
-                points = np.stack([np.frombuffer(x["v"], dtype=np.uint32) for x in m]).astype(np.int64)
-                tree = RTree(points)
-                two = len(set(side.tolist())) > 1
+                points, marks = (np.stack(x) for x in zip(*(unpack(x["v"]) for x in m)))
+                blocks = [sorted(x["bs"]) for x in m]
+                tree = RTree(points, marks)
                 for i in range(len(m)):
-                    j = tree.search(points[i], bands)
-                    j = j[(ids[j] > ids[i]) & (classes[j] != classes[i])]
-                    if two:
-                        j = j[side[j] != side[i]]
+                    j = tree.search(points[i], marks[i], bands)
+                    j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+                    own = set(blocks[i])
+                    j = [x for x in j.tolist() if next(y for y in blocks[x] if y in own) == block]
                     left += [int(ids[i])] * len(j)
                     right += ids[j].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -181,15 +196,14 @@ def _tree_join(bands: Bands):
 
 
 def _bounded(bands: Bands):
-    """Pairs whose points' summed minima allow a link."""
+    """Pairs whose points allow a link."""
 
     def run(batches):
         for b in batches:
-            x, y = b.column(2), b.column(3)
             keep = []
-            for i in range(b.num_rows):
-                p, q = (np.frombuffer(c[i].as_buffer(), dtype=np.uint32) for c in (x, y))
-                keep.append(int(np.minimum(p, q).sum()) >= bands.need(int(p.sum()), int(q.sum())))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                (p, p_mark), (q, q_mark) = unpack(x), unpack(y)
+                keep.append(int(most(p, p_mark, q, q_mark)) >= bands.need(int(p.sum()), int(q.sum())))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -249,21 +263,23 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     key = ["n", "set_a", "set_b"]
     same = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    points = rows.where("n > 0").select("doc_id", "set_a", F.explode("points").alias("p"))
-    cells = points.select("doc_id", "set_a", F.col("p.band").alias("band"), F.explode("p.cells").alias("cell"))
+    cells = rows.where("n > 0").select("doc_id", "set_a", F.explode(F.arrays_zip("bands", "cells")).alias("p"))
+    cells = cells.select("doc_id", "set_a", F.col("p.bands").alias("band"), F.explode("p.cells").alias("cell"))
     # representatives are those whose set no smaller id has: only they take part
     stats = cells.groupBy("band", "cell").agg(F.min("doc_id").alias("hub"), F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo != hi").select("band", "cell", "hub")
     members = cells.join(stats, ["band", "cell"]).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     members = scratch.save(members.select("doc_id", "band", "cell", "hub"), "members")
 
-    vectors = points.select(F.col("doc_id").alias("id"), F.col("p.band").alias("vb"), F.col("p.counts").alias("v"))
+    vectors = rows.where("n > 0").select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("bands", "counts")).alias("p")).select("id", F.col("p.bands").alias("vb"), F.col("p.counts").alias("v"))
     star = members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
     star = star.join(vectors.withColumnRenamed("v", "va"), (F.col("b") == F.col("id")) & (F.col("band") == F.col("vb"))).drop("id", "vb")
     star = star.join(vectors.withColumnRenamed("v", "vh"), (F.col("a") == F.col("id")) & (F.col("band") == F.col("vb"))).select("a", "b", "va", "vh")
     star = scratch.save(star.mapInArrow(_bounded(bands), "a long, b long").distinct(), "star")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
         sets = scratch.save(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "doc_id long, set binary"), "sets")
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
         return scratch.save(pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(bands), "a long, b long"), "links")
@@ -284,8 +300,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = blocks.dropDuplicates(["band", "m"]).withColumn("block", F.monotonically_increasing_id())
     blocks = scratch.save(blocks.select("block", "band", "m"), "blocks")
     flat = blocks.select("block", "band", F.explode("m").alias("x")).select("block", "band", "x.d", "x.c", "x.s")
-    flat = flat.join(vectors, (F.col("d") == F.col("id")) & (F.col("band") == F.col("vb"))).groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
-    open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(bands), "a long, b long").distinct(), "open")
+    flat = flat.join(vectors, (F.col("d") == F.col("id")) & (F.col("band") == F.col("vb")))
+    # a pair belongs to the first block that has both documents
+    flat = flat.withColumn("bs", F.collect_list("block").over(Window.partitionBy("d", "band"))).groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v", "bs")).alias("m"))
+    open_pairs = scratch.save(flat.select("block", "m").mapInArrow(_tree_join(bands), "a long, b long").distinct(), "open")
     more = verify(open_pairs.join(star, ["a", "b"], "left_anti"))
     classes = connected(links.union(more), scratch)
 

@@ -75,8 +75,11 @@ def train(labelled: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) ->
     labelled has doc_id, text, label.
     """
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id", "text"], kind="stable")
+    def learn(batches):
+        every = list(batches)
+        if not sum(map(len, every)):
+            return
+        pdf = pd.concat(every).sort_values(["key", "doc_id", "text"], kind="stable")
         rows = []
         for lo, offsets, _, _, (h, *pre), _ in words_of(pa.array(pdf["text"].tolist(), pa.string()), SPACES, PREFIXES):
             f = text_features(h, pre, _first(offsets, len(h)), bits)
@@ -89,11 +92,11 @@ def train(labelled: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) ->
                 model.learn(i, y)
         at = np.flatnonzero(model.n)
         w = model.weights(at)
-        return pd.DataFrame({"at": at[w != 0], "w": w[w != 0]})
+        yield pd.DataFrame({"at": at[w != 0], "w": w[w != 0]})
 
     known = labelled.select("doc_id", "text", F.col("label").cast("double").alias("label"), F.md5(F.col("doc_id").cast("string")).alias("key")).where("label is not null")
     sample = known.withColumn("text", F.substring("text", 1, MAX_TRAIN_CHARS)).orderBy("key", "doc_id").limit(max_train)
-    total = sample.groupBy(F.lit(0)).applyInPandas(learn, "at long, w double").toPandas()
+    total = sample.coalesce(1).mapInPandas(learn, "at long, w double").toPandas()
     w = np.zeros((1 << bits) + 2, dtype=np.float32)
     w[total["at"].to_numpy(dtype=np.int64)] = total["w"]
     return w
