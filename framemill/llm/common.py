@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ class Scratch:
         self.saved += 1
         path = f"{self.base}/{name}-{self.saved}"
         df.write.parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()  # what the finished job shuffled can go now, not only when the driver's heap is full
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

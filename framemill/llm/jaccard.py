@@ -7,8 +7,8 @@ their points, which bounds a pair, and a point against the box of an R-tree node
 At a high threshold two linked sets differ in few shingles: at most LIMIT = (1 - t) / (1 + t) of the sum of their
 sizes. No box that spans unrelated documents can be ruled out with so much slack, so a single tree over all points
 would be searched whole. Its root is therefore dealt out by key: a document has more groups than its linked sets may
-differ in, so linked sets agree on the whole content of some group (empty groups count only for documents with more
-than SPARE of them). Every group content is a cell; linked sets share a cell. Cells are formed by plain aggregation.
+differ in, so linked sets agree on the whole content of some group. Spare groups make up for those with fewer than
+LEAST shingles, which say little; only documents with more such groups than spare ones use them too. Every group content is a cell; linked sets share a cell. Cells are formed by plain aggregation.
 
 1. Equal sets fold into one representative.
 2. Each member of a shared cell meets the cell's first member; pairs that pass the bound are verified on the sets.
@@ -32,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, U64, Scratch, mix, table, words_of
 
-GROWTH, SPARE = 1.4, 4
-BLOCK, FANOUT = 512, 16
+GROWTH, SPARE, LEAST = 1.4, 4, 2
+BLOCK, FANOUT, SEEN = 512, 16, 1_000_000
 #: A list of ids up to this size (8 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -74,8 +74,14 @@ class Bands:
         return math.ceil(GROWTH ** (band + 1))
 
     def groups(self, band: int) -> int:
-        """One more than two sets of the band may differ in, and SPARE."""
-        return (self.q - self.p) * 2 * self.top(band) // (self.p + self.q) + 1 + SPARE
+        """One more than two sets of the band may differ in, and spare ones."""
+        return self.differ(band) + 1 + self.spare(band)
+
+    def differ(self, band: int) -> int:
+        return (self.q - self.p) * 2 * self.top(band) // (self.p + self.q)
+
+    def spare(self, band: int) -> int:
+        return SPARE + self.differ(band) // 4
 
     def of(self, size: int) -> list[int]:
         """The own band, and the next one if a linked set can be there."""
@@ -84,15 +90,15 @@ class Bands:
         return [b for b in range(own, last + 1) if (self.q - self.p) * 2 * self.top(b) >= self.p + self.q]  # else only equal sets link
 
 
-def point(sh: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Group counts, and the content hashes of the groups that form cells."""
+def point(sh: np.ndarray, groups: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group counts, content hashes, and the content hashes of the groups that form cells."""
     edges = np.arange(1, groups, dtype=U64) * U64((1 << 64) // groups)
     cut = np.concatenate(([0], np.searchsorted(sh, edges), [len(sh)]))
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(sh ^ U64(0x5851F42D4C957F2D)))))
     counts = np.diff(cut)
     content = mix(total[cut[1:]] - total[cut[:-1]] + np.arange(groups, dtype=U64) * U64(0xD1342543DE82EF95) + U64(groups << 40))
-    full = counts > 0
-    return counts, content, content if (~full).sum() > SPARE else content[full]
+    full = counts >= LEAST
+    return counts, content, content if (~full).sum() > spare else content[full]
 
 
 def pack(counts: np.ndarray, content: np.ndarray) -> bytes:
@@ -127,7 +133,7 @@ def _features(n: int, bands: Bands):
                         continue
                     size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
                     for x in bands.of(len(sh)):
-                        v, content, cell = point(sh, bands.groups(x))
+                        v, content, cell = point(sh, bands.groups(x), bands.spare(x))
                         owner.append(k)
                         band.append(x)
                         counts.append(pack(v, content))
@@ -172,24 +178,25 @@ class RTree:
 
 
 def _tree_join(bands: Bands):
-    """Pairs of different classes in one block that their points allow, each in the first block that has both."""
+    """Pairs of different classes in one block that their points allow, each once a task as far as SEEN pairs are remembered."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            left, right = [], []
-            for block, members in zip(b.column(0).to_pylist(), b.column(1)):
+            pairs = []
+            for members in b.column(0):
                 m = members.as_py()
                 ids, classes, side = (np.array([x[k] for x in m]) for k in ("d", "c", "s"))
                 points, marks = (np.stack(x) for x in zip(*(unpack(x["v"]) for x in m)))
-                blocks = [sorted(x["bs"]) for x in m]
                 tree = RTree(points, marks)
                 for i in range(len(m)):
                     j = tree.search(points[i], marks[i], bands)
                     j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-                    own = set(blocks[i])
-                    j = [x for x in j.tolist() if next(y for y in blocks[x] if y in own) == block]
-                    left += [int(ids[i])] * len(j)
-                    right += ids[j].tolist()
+                    new = [x for x in ((int(ids[i]), y) for y in ids[j].tolist()) if x not in seen]
+                    pairs += new
+                    if len(seen) < SEEN:
+                        seen.update(new)
+            left, right = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
@@ -301,9 +308,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = scratch.save(blocks.select("block", "band", "m"), "blocks")
     flat = blocks.select("block", "band", F.explode("m").alias("x")).select("block", "band", "x.d", "x.c", "x.s")
     flat = flat.join(vectors, (F.col("d") == F.col("id")) & (F.col("band") == F.col("vb")))
-    # a pair belongs to the first block that has both documents
-    flat = flat.withColumn("bs", F.collect_list("block").over(Window.partitionBy("d", "band"))).groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v", "bs")).alias("m"))
-    open_pairs = scratch.save(flat.select("block", "m").mapInArrow(_tree_join(bands), "a long, b long").distinct(), "open")
+    flat = flat.groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
+    open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(bands), "a long, b long").distinct(), "open")
     more = verify(open_pairs.join(star, ["a", "b"], "left_anti"))
     classes = connected(links.union(more), scratch)
 
