@@ -340,7 +340,7 @@ def q_rle_roundtrip(spark, d):
 def q_mask_kernels(spark, d):
     masks = M.fill(rects(spark, d), ["idx"], 64, 64)
     on = lambda f: f(F.col("runs"), F.lit(64), F.lit(64))
-    return masks.select("idx", on(M.component_count()).alias("components"), G.run_area(on(M.fill_holes())).alias("filled"), G.run_area(on(M.drop_small(30))).alias("large"), (F.size(on(M.contours())[0]) / 2).cast("int").alias("corners"))
+    return masks.select("idx", on(M.component_count()).alias("components"), G.run_area(on(M.fill_holes())).alias("filled"), G.run_area(on(M.drop_small(30))).alias("large"), (F.size(F.get(on(M.contours()), F.lit(0))) / 2).cast("int").alias("corners"))
 
 
 @query("SELECT p_partkey, greatest(1, round_even((p_size * 100) * least(1.0, 1024.0 / greatest(p_size * 100, p_size * 60)), 0))::INT AS w, greatest(1, round_even((p_size * 60) * least(1.0, 1024.0 / greatest(p_size * 100, p_size * 60)), 0))::INT AS h FROM part")
