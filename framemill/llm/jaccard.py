@@ -8,7 +8,8 @@ At a high threshold two linked sets differ in few shingles: at most LIMIT = (1 -
 sizes. No box that spans unrelated documents can be ruled out with so much slack, so a single tree over all points
 would be searched whole. Its root is therefore dealt out by key: a document has more groups than its linked sets may
 differ in, so linked sets agree on the whole content of some group. Spare groups make up for those with fewer than
-LEAST shingles, which say little; only documents with more such groups than spare ones use them too. Every group content is a cell; linked sets share a cell. Cells are formed by plain aggregation.
+LEAST shingles, which say little; only documents with more such groups than spare ones use them too. Every group content is a cell; linked sets share a cell. Cells are formed by plain aggregation;
+how many cells a link shares at least is known too, and documents that share fewer with any others drop out.
 
 1. Equal sets fold into one representative.
 2. Each member of a shared cell meets the cell's first member; pairs that pass the bound are verified on the sets.
@@ -90,15 +91,16 @@ class Bands:
         return [b for b in range(own, last + 1) if (self.q - self.p) * 2 * self.top(b) >= self.p + self.q]  # else only equal sets link
 
 
-def point(sh: np.ndarray, groups: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group counts, content hashes, and the content hashes of the groups that form cells."""
+def point(sh: np.ndarray, groups: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Group counts, content hashes, the content hashes of the groups that form cells, and how many cells a link shares at least."""
     edges = np.arange(1, groups, dtype=U64) * U64((1 << 64) // groups)
     cut = np.concatenate(([0], np.searchsorted(sh, edges), [len(sh)]))
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(sh ^ U64(0x5851F42D4C957F2D)))))
     counts = np.diff(cut)
     content = mix(total[cut[1:]] - total[cut[:-1]] + np.arange(groups, dtype=U64) * U64(0xD1342543DE82EF95) + U64(groups << 40))
     full = counts >= LEAST
-    return counts, content, content if (~full).sum() > spare else content[full]
+    low = int((~full).sum())
+    return (counts, content, content, 1) if low > spare else (counts, content, content[full], spare + 1 - low)
 
 
 def pack(counts: np.ndarray, content: np.ndarray) -> bytes:
@@ -118,7 +120,7 @@ def most(p: np.ndarray, p_mark: np.ndarray, q: np.ndarray, q_mark: np.ndarray) -
     return np.minimum(p, q).sum(axis=-1) - ((p == q) & (p_mark != q_mark) & (p > 0)).sum(axis=-1)
 
 
-FEATURES = "doc_id long, n long, set_a long, set_b long, bands array<int>, counts array<binary>, cells array<array<long>>"
+FEATURES = "doc_id long, n long, set_a long, set_b long, bands array<int>, needs array<int>, counts array<binary>, cells array<array<long>>"
 
 
 def _features(n: int, bands: Bands):
@@ -126,23 +128,24 @@ def _features(n: int, bands: Bands):
         for b in batches:
             for lo, off, _, _, (h,), _ in words_of(b.column(1), SPACES):
                 size, a, c = (np.zeros(len(off) - 1, dtype=t) for t in (np.int64, U64, U64))
-                owner, band, counts, cells = [], [], [], []
+                owner, band, needs, counts, cells = [], [], [], [], []
                 for k in range(len(off) - 1):
                     sh = shingles(h[off[k] : off[k + 1]], n)
                     if not len(sh):
                         continue
                     size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
                     for x in bands.of(len(sh)):
-                        v, content, cell = point(sh, bands.groups(x), bands.spare(x))
+                        v, content, cell, least = point(sh, bands.groups(x), bands.spare(x))
                         owner.append(k)
                         band.append(x)
+                        needs.append(least)
                         counts.append(pack(v, content))
                         cells.append(cell)
                 cell_off = np.concatenate(([0], np.cumsum([len(x) for x in cells], dtype=np.int64))).astype(np.int32)
                 flat = np.concatenate(cells).view(np.int64) if cells else np.zeros(0, np.int64)
                 own = pa.array(np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(off))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(own, x) for x in (pa.array(band, pa.int32()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(cell_off), pa.array(flat)))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), *lists], ["doc_id", "n", "set_a", "set_b", "bands", "counts", "cells"])
+                lists = [pa.ListArray.from_arrays(own, x) for x in (pa.array(band, pa.int32()), pa.array(needs, pa.int32()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(cell_off), pa.array(flat)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), *lists], ["doc_id", "n", "set_a", "set_b", "bands", "needs", "counts", "cells"])
 
     return run
 
@@ -259,6 +262,12 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "class")
 
 
+def _enough(members: DataFrame) -> DataFrame:
+    """Without the documents that share too few cells with any others to have a link."""
+    many = members.groupBy("doc_id", "band").agg(F.count("*").alias("m"), F.min("need").alias("n")).where("m >= n").select("doc_id", "band")
+    return members.join(many, ["doc_id", "band"], "left_semi")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id that links reach, the own id included).
 
@@ -270,15 +279,17 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     key = ["n", "set_a", "set_b"]
     same = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    cells = rows.where("n > 0").select("doc_id", "set_a", F.explode(F.arrays_zip("bands", "cells")).alias("p"))
-    cells = cells.select("doc_id", "set_a", F.col("p.bands").alias("band"), F.explode("p.cells").alias("cell"))
+    cells = rows.where("n > 0").select("doc_id", "set_a", F.explode(F.arrays_zip("bands", "needs", "cells")).alias("p"))
+    cells = cells.select("doc_id", "set_a", F.col("p.bands").alias("band"), F.col("p.needs").alias("need"), F.explode("p.cells").alias("cell"))
     # representatives are those whose set no smaller id has: only they take part
     stats = cells.groupBy("band", "cell").agg(F.min("doc_id").alias("hub"), F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo != hi").select("band", "cell", "hub")
     members = cells.join(stats, ["band", "cell"]).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = scratch.save(members.select("doc_id", "band", "cell", "hub"), "members")
+    members = scratch.save(members.select("doc_id", "band", "need", "cell", "hub"), "shared")
+    members = scratch.save(_enough(members), "members")
 
     vectors = rows.where("n > 0").select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("bands", "counts")).alias("p")).select("id", F.col("p.bands").alias("vb"), F.col("p.counts").alias("v"))
-    star = members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
+    star = members.where("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("m"), F.min("need").alias("need"))
+    star = star.where("2 * m >= need").select("a", "b", "band")  # a shortcut: what it leaves out is met below
     star = star.join(vectors.withColumnRenamed("v", "va"), (F.col("b") == F.col("id")) & (F.col("band") == F.col("vb"))).drop("id", "vb")
     star = star.join(vectors.withColumnRenamed("v", "vh"), (F.col("a") == F.col("id")) & (F.col("band") == F.col("vb"))).select("a", "b", "va", "vh")
     star = scratch.save(star.mapInArrow(_bounded(bands), "a long, b long").distinct(), "star")
@@ -295,8 +306,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = connected(links, scratch)
 
     # what the first members left open
-    own = members.join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "band", "cell", F.coalesce("class", "doc_id").alias("class"))
+    own = members.join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "band", "need", "cell", F.coalesce("class", "doc_id").alias("class"))
     own = scratch.save(own, "own")
+    for _ in range(2):
+        open_cells = own.groupBy("band", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band", "cell")
+        own = scratch.save(_enough(own.join(open_cells, ["band", "cell"], "left_semi")), "own")
     mixed = own.groupBy("band", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
