@@ -129,7 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         out = out.unionByName(one(g))
     # several slices: the same document's ranges and items meet by its id
     cut = F.aggregate(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.size("ranges") / 2 - 1), lambda i: F.struct(F.get("ranges", (2 * i).cast("int")).alias("a"), F.get("ranges", (2 * i + 1).cast("int")).alias("b")))),
+        F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", (2 * i).cast("int")).alias("a"), F.get("ranges", (2 * i + 1).cast("int")).alias("b")))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(r["b"] - F.greatest(r["a"], acc["end"]), F.lit(0).cast("long"))).alias("n"), F.greatest(acc["end"], r["b"]).alias("end")),
     )
