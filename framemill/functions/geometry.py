@@ -11,7 +11,6 @@ COCO17_SIGMAS = [0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072,
 COCO17_SKELETON = [(15, 13), (13, 11), (16, 14), (14, 12), (11, 12), (5, 11), (6, 12), (5, 6), (5, 7), (6, 8), (7, 9), (8, 10), (1, 2), (0, 1), (0, 2), (1, 3), (2, 4), (3, 5), (4, 6)]
 COCO17_ANGLES = [("left_elbow", (5, 7, 9)), ("right_elbow", (6, 8, 10)), ("left_shoulder", (7, 5, 11)), ("right_shoulder", (8, 6, 12)), ("left_hip", (5, 11, 13)), ("right_hip", (6, 12, 14)), ("left_knee", (11, 13, 15)), ("right_knee", (12, 14, 16))]
 DEFAULT_SIGMA = 0.05
-ZERO = F.lit(0.0)
 
 
 def box(x1, y1, x2, y2) -> Column:
@@ -19,18 +18,18 @@ def box(x1, y1, x2, y2) -> Column:
 
 
 def box_or_zero(b: Column) -> Column:
-    return F.coalesce(b, box(ZERO, ZERO, ZERO, ZERO))
+    return F.coalesce(b, box(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
 
 
 def area(b: Column) -> Column:
-    return F.greatest(b["x2"] - b["x1"], ZERO) * F.greatest(b["y2"] - b["y1"], ZERO)
+    return F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
 
 
 def iou(a: Column, b: Column) -> Column:
-    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), ZERO)
-    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), ZERO)
+    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
+    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))
     union = area(a) + area(b) - w * h
-    return F.when(union > 0, w * h / F.when(union > 0, union)).otherwise(ZERO)
+    return F.when(union > 0, w * h / F.when(union > 0, union)).otherwise(F.lit(0.0))
 
 
 def to_xywh(b: Column) -> Column:
@@ -50,7 +49,7 @@ def auto_format(v: Column) -> Column:
 
 
 def clip(b: Column, w: Column, h: Column) -> Column:
-    side = lambda v, top: F.least(F.greatest(v, ZERO), top.cast("double"))
+    side = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top.cast("double"))
     return box(side(b["x1"], w), side(b["y1"], h), side(b["x2"], w), side(b["y2"], h))
 
 
@@ -97,8 +96,8 @@ def oks(a: Column, b: Column, area_a: Column, area_b: Column, sigmas: list[float
     joint = F.zip_with(a, b, lambda p, q: F.when((p["score"] > 0) & (q["score"] > 0), (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
     var = F.transform(joint, lambda d, i: F.struct(d.alias("d"), F.pow(2 * F.coalesce(F.get(s, i), F.lit(DEFAULT_SIGMA)), F.lit(2.0)).alias("v")))
     both = F.filter(var, lambda z: z["d"].isNotNull())
-    mean = lambda ar: F.aggregate(both, ZERO, lambda acc, z: acc + F.exp(-z["d"] / (z["v"] * F.greatest(ar, F.lit(1.0)) * 2))) / F.size(both)
-    return F.when(F.size(both) > 0, (mean(area_a) + mean(area_b)) / 2).otherwise(ZERO)
+    mean = lambda ar: F.aggregate(both, F.lit(0.0), lambda acc, z: acc + F.exp(-z["d"] / (z["v"] * F.greatest(ar, F.lit(1.0)) * 2))) / F.size(both)
+    return F.when(F.size(both) > 0, (mean(area_a) + mean(area_b)) / 2).otherwise(F.lit(0.0))
 
 
 def angle(kps: Column, a: int, v: int, b: int) -> Column:
