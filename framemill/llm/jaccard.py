@@ -4,22 +4,22 @@ A document is the set of its distinct word n-grams ("shingles"), hashed to 64 bi
 to groups; the group counts are the document's point. Two sets overlap in at most the sum of the coordinate minima of
 their points, which bounds a pair, and a point against the box of an R-tree node, before any set is read.
 
-At a high threshold two linked sets differ in few shingles: at most LIMIT = (1 - t) / (1 + t) of the sum of their
-sizes. No box that spans unrelated documents can be ruled out with so much slack, so a single tree over all points
-would be searched whole. Its root is therefore dealt out by key: a document has more groups than its linked sets may
-differ in, so linked sets agree on the whole content of some group. Spare groups make up for those with fewer than
-LEAST shingles, which say little; only documents with more such groups than spare ones use them too. Every group content is a cell; linked sets share a cell. Cells are formed by plain aggregation;
-how many cells a link shares at least is known too, and documents that share fewer with any others drop out.
+A single tree over all points would be one task's work, so the tree's root is dealt out by key: linked sets share a
+shingle among the first size - ceil(t * size) + 1 of each in any fixed order of all shingles. Those shingles are the
+document's cells; documents that share a cell meet in a tree of that cell. The order is that of the hashes, with
+shingles found in many documents last, so that passages which many documents share form few cells. Which shingles
+come last changes the work, never the links.
 
 1. Equal sets fold into one representative.
 2. Each member of a shared cell meets the cell's first member; pairs that pass the bound are verified on the sets.
-   Verified links give provisional classes (this settles large groups of near copies with one pair a member).
+   Verified links give provisional classes (this settles large groups of near copies with few pairs a member).
 3. Cells that still hold several classes get an R-tree each, in blocks of bounded size; pairs of different classes
    that the tree doesn't rule out are verified. All links together give the classes.
 
 No link between different texts is lost: a pair that shares a cell is either in one class already or verified.
 
-Points use the groups of a size band. Bands overlap: a document near the top of its band also takes part in the next.
+The number of groups doubles with the size (a level). Hash ranges nest, so a document that a linked one of the level
+below can be near also takes part there, with neighbouring counts added.
 
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing; a text with fewer
 words than n is one shingle; repeated rows fold like equal sets; a null id takes part, but class ids are the smallest
@@ -28,18 +28,22 @@ ids that are not null; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, U64, Scratch, mix, table, words_of
 
-GROWTH, SPARE, LEAST = 1.4, 4, 2
-BLOCK, FANOUT, SEEN = 512, 16, 1_000_000
+#: A group holds PER_GROUP to 2 * PER_GROUP shingles on average, and there are 2 ** MAX_LEVEL groups at most.
+PER_GROUP, MAX_LEVEL = 4, 12
+#: Shingles that are cells of over COMMON representatives come last in the order; MAX_COMMON (0.8 MB) of them at most.
+COMMON, MAX_COMMON, COUNTS = 32, 100_000, 2
+#: A document of over HOT pairs in one role is copied, one copy for HOT pairs, when pairs meet their sets.
+BLOCK, FANOUT, SEEN, HOT = 512, 16, 1_000_000, 1_000
 #: A list of ids up to this size (8 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -58,8 +62,8 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-class Bands:
-    """Size bands and their numbers of groups for similarity p / q."""
+class Threshold:
+    """Similarity p / q."""
 
     def __init__(self, similarity: tuple[int, int]):
         self.p, self.q = similarity
@@ -68,84 +72,71 @@ class Bands:
         """Least overlap of linked sets of sizes a and b."""
         return -((-self.p * (a + b)) // (self.p + self.q))
 
-    def band(self, size: int) -> int:
-        return int(math.log(size) / math.log(GROWTH) + 1e-9)
+    def cells(self, size: int) -> int:
+        """How many of its first shingles a set shares at least one of with any linked set."""
+        return size + (-self.p * size // self.q) + 1
 
-    def top(self, band: int) -> int:
-        return math.ceil(GROWTH ** (band + 1))
+    def levels(self, n: Column) -> Column:
+        """The own level, and the one below if a linked set can be there."""
+        level = lambda size: F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.floor(F.log2(size / PER_GROUP + 1e-9)))).cast("int")
+        return F.array_distinct(F.array(level(n), level(F.ceil(n * self.p / self.q))))
 
-    def groups(self, band: int) -> int:
-        """One more than two sets of the band may differ in, and spare ones."""
-        return self.differ(band) + 1 + self.spare(band)
 
-    def differ(self, band: int) -> int:
-        return (self.q - self.p) * 2 * self.top(band) // (self.p + self.q)
+def level_of(size: int) -> int:
+    return min(MAX_LEVEL, max(0, (size // PER_GROUP).bit_length() - 1))
 
-    def spare(self, band: int) -> int:
-        return SPARE + self.differ(band) // 4
 
-    def of(self, size: int) -> list[int]:
-        """The own band, and the next one if a linked set can be there."""
-        own = self.band(size)
-        last = self.band(max(size, size * self.q // self.p))
-        return [b for b in range(own, last + 1) if (self.q - self.p) * 2 * self.top(b) >= self.p + self.q]  # else only equal sets link
+def point(sh: np.ndarray) -> np.ndarray:
+    """Counts by hash range, as many ranges as the level has."""
+    level = level_of(len(sh))
+    return np.bincount((sh >> U64(64 - level)).astype(np.int64) if level else np.zeros(len(sh), np.int64), minlength=1 << level)
 
 
-def point(sh: np.ndarray, groups: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Group counts, content hashes, the content hashes of the groups that form cells, and how many cells a link shares at least."""
-    edges = np.arange(1, groups, dtype=U64) * U64((1 << 64) // groups)
-    cut = np.concatenate(([0], np.searchsorted(sh, edges), [len(sh)]))
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(sh ^ U64(0x5851F42D4C957F2D)))))
-    counts = np.diff(cut)
-    content = mix(total[cut[1:]] - total[cut[:-1]] + np.arange(groups, dtype=U64) * U64(0xD1342543DE82EF95) + U64(groups << 40))
-    full = counts >= LEAST
-    low = int((~full).sum())
-    return (counts, content, content, 1) if low > spare else (counts, content, content[full], spare + 1 - low)
+def pack(counts: np.ndarray) -> bytes:
+    """Counts of 1 or 4 bytes each, as the first byte says."""
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def pack(counts: np.ndarray, content: np.ndarray) -> bytes:
-    """Group counts (1 or 4 bytes each, as the first byte says) and a byte of each group's content hash."""
-    width = 1 if counts.max() < 256 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes() + (content & U64(255)).astype(np.uint8).tobytes()
+def unpack(data) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int32)
 
 
-def unpack(data) -> tuple[np.ndarray, np.ndarray]:
-    width = data[0]
-    groups = (len(data) - 1) // (width + 1)
-    return np.frombuffer(data, dtype=f"<u{width}", count=groups, offset=1).astype(np.int32), np.frombuffer(data, dtype=np.uint8, offset=1 + width * groups)
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1)
 
 
-def most(p: np.ndarray, p_mark: np.ndarray, q: np.ndarray, q_mark: np.ndarray) -> np.ndarray:
-    """Greatest possible overlap: summed coordinate minima, less one for groups of equal counts and unequal content."""
-    return np.minimum(p, q).sum(axis=-1) - ((p == q) & (p_mark != q_mark) & (p > 0)).sum(axis=-1)
+def most(p: np.ndarray, q: np.ndarray) -> int:
+    """Greatest possible overlap: summed coordinate minima over the coarser of both divisions."""
+    groups = min(len(p), len(q))
+    return int(np.minimum(fold(p, groups), fold(q, groups)).sum())
 
 
-FEATURES = "doc_id long, n long, set_a long, set_b long, bands array<int>, needs array<int>, counts array<binary>, cells array<array<long>>"
+FEATURES = "doc_id long, n long, set_a long, set_b long, counts binary, cells array<long>"
 
 
-def _features(n: int, bands: Bands):
+def _features(n: int, t: Threshold, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]):
+        last = common.value
         for b in batches:
             for lo, off, _, _, (h,), _ in words_of(b.column(1), SPACES):
-                size, a, c = (np.zeros(len(off) - 1, dtype=t) for t in (np.int64, U64, U64))
-                owner, band, needs, counts, cells = [], [], [], [], []
+                size, a, c = (np.zeros(len(off) - 1, dtype=x) for x in (np.int64, U64, U64))
+                counts, cells, held = [], [], np.zeros(len(off), dtype=np.int32)
                 for k in range(len(off) - 1):
                     sh = shingles(h[off[k] : off[k + 1]], n)
-                    if not len(sh):
-                        continue
-                    size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
-                    for x in bands.of(len(sh)):
-                        v, content, cell, least = point(sh, bands.groups(x), bands.spare(x))
-                        owner.append(k)
-                        band.append(x)
-                        needs.append(least)
-                        counts.append(pack(v, content))
-                        cells.append(cell)
-                cell_off = np.concatenate(([0], np.cumsum([len(x) for x in cells], dtype=np.int64))).astype(np.int32)
+                    if len(sh):
+                        size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
+                        first = t.cells(len(sh))
+                        if len(last):
+                            late = last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh
+                            cells.append(np.concatenate((sh[~late], sh[late]))[:first])
+                        else:
+                            cells.append(sh[:first])
+                        held[k + 1] = first
+                    counts.append(pack(point(sh)) if len(sh) else b"")
                 flat = np.concatenate(cells).view(np.int64) if cells else np.zeros(0, np.int64)
-                own = pa.array(np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(off))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(own, x) for x in (pa.array(band, pa.int32()), pa.array(needs, pa.int32()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(cell_off), pa.array(flat)))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), *lists], ["doc_id", "n", "set_a", "set_b", "bands", "needs", "counts", "cells"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(held, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(counts, pa.binary()), lists], ["doc_id", "n", "set_a", "set_b", "counts", "cells"])
 
     return run
 
@@ -156,8 +147,8 @@ def _features(n: int, bands: Bands):
 class RTree:
     """Points packed into leaves of FANOUT by size and first coordinates, boxes of boxes above them."""
 
-    def __init__(self, points: np.ndarray, marks: np.ndarray):
-        self.points, self.marks, self.order = points, marks, np.lexsort((points[:, 0], points.sum(axis=1)))
+    def __init__(self, points: np.ndarray):
+        self.points, self.order = points, np.lexsort((points[:, 0], points.sum(axis=1)))
         low = high = points[self.order]
         self.levels = []
         while True:
@@ -167,20 +158,20 @@ class RTree:
             if len(low) == 1:
                 break
 
-    def search(self, p: np.ndarray, mark: np.ndarray, bands: Bands) -> np.ndarray:
+    def search(self, p: np.ndarray, t: Threshold) -> np.ndarray:
         """Indexes of the points whose greatest overlap with p reaches what a link needs."""
         size, nodes = int(p.sum()), np.zeros(1, dtype=np.int64)
         for least, high in reversed(self.levels):
             nodes = nodes[nodes < len(high)]
             bound = np.minimum(high[nodes], p).sum(axis=1)
-            nodes = nodes[bound >= bands.need(size, np.minimum(least[nodes], bound))]
+            nodes = nodes[bound >= t.need(size, np.minimum(least[nodes], bound))]
             nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         own = self.order[nodes[nodes < len(self.points)]]
         q = self.points[own]
-        return own[most(q, self.marks[own], p, mark) >= bands.need(size, q.sum(axis=1))]
+        return own[np.minimum(q, p).sum(axis=1) >= t.need(size, q.sum(axis=1))]
 
 
-def _tree_join(bands: Bands):
+def _tree_join(t: Threshold):
     """Pairs of different classes in one block that their points allow, each once a task as far as SEEN pairs are remembered."""
 
     def run(batches):
@@ -190,10 +181,12 @@ def _tree_join(bands: Bands):
             for members in b.column(0):
                 m = members.as_py()
                 ids, classes, side = (np.array([x[k] for x in m]) for k in ("d", "c", "s"))
-                points, marks = (np.stack(x) for x in zip(*(unpack(x["v"]) for x in m)))
-                tree = RTree(points, marks)
+                vectors = [unpack(x["v"]) for x in m]
+                groups = min(map(len, vectors))
+                points = np.stack([fold(v, groups) for v in vectors])
+                tree = RTree(points)
                 for i in range(len(m)):
-                    j = tree.search(points[i], marks[i], bands)
+                    j = tree.search(points[i], t)
                     j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
                     new = [x for x in ((int(ids[i]), y) for y in ids[j].tolist()) if x not in seen]
                     pairs += new
@@ -205,21 +198,21 @@ def _tree_join(bands: Bands):
     return run
 
 
-def _bounded(bands: Bands):
+def _bounded(t: Threshold):
     """Pairs whose points allow a link."""
 
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                (p, p_mark), (q, q_mark) = unpack(x), unpack(y)
-                keep.append(int(most(p, p_mark, q, q_mark)) >= bands.need(int(p.sum()), int(q.sum())))
+                p, q = unpack(x), unpack(y)
+                keep.append(most(p, q) >= t.need(int(p.sum()), int(q.sum())))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(bands: Bands):
+def _verified(t: Threshold):
     def run(batches):
         for b in batches:
             x, y = b.column(2), b.column(3)
@@ -227,7 +220,7 @@ def _verified(bands: Bands):
             for i in range(b.num_rows):
                 p, q = (np.frombuffer(c[i].as_buffer(), dtype=U64) for c in (x, y))
                 common = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(common >= bands.need(len(p), len(q)))
+                keep.append(common >= t.need(len(p), len(q)))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -262,68 +255,76 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "class")
 
 
-def _enough(members: DataFrame) -> DataFrame:
-    """Without the documents that share too few cells with any others to have a link."""
-    many = members.groupBy("doc_id", "band").agg(F.count("*").alias("m"), F.min("need").alias("n")).where("m >= n").select("doc_id", "band")
-    return members.join(many, ["doc_id", "band"], "left_semi")
-
-
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id that links reach, the own id included).
 
     Documents link when q * intersection >= p * union, similarity being (p, q).
     """
-    scratch, bands = Scratch(docs.sparkSession), Bands(similarity)
+    scratch, t, context = Scratch(docs.sparkSession), Threshold(similarity), docs.sparkSession.sparkContext
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.save(narrow.mapInArrow(_features(n, bands), FEATURES), "features")
-
     key = ["n", "set_a", "set_b"]
-    same = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    cells = rows.where("n > 0").select("doc_id", "set_a", F.explode(F.arrays_zip("bands", "needs", "cells")).alias("p"))
-    cells = cells.select("doc_id", "set_a", F.col("p.bands").alias("band"), F.col("p.needs").alias("need"), F.explode("p.cells").alias("cell"))
-    # representatives are those whose set no smaller id has: only they take part
-    stats = cells.groupBy("band", "cell").agg(F.min("doc_id").alias("hub"), F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo != hi").select("band", "cell", "hub")
-    members = cells.join(stats, ["band", "cell"]).join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = scratch.save(members.select("doc_id", "band", "need", "cell", "hub"), "shared")
-    members = scratch.save(_enough(members), "members")
-
-    vectors = rows.where("n > 0").select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("bands", "counts")).alias("p")).select("id", F.col("p.bands").alias("vb"), F.col("p.counts").alias("v"))
-    star = members.where("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("m"), F.min("need").alias("need"))
-    star = star.where("2 * m >= need").select("a", "b", "band")  # a shortcut: what it leaves out is met below
-    star = star.join(vectors.withColumnRenamed("v", "va"), (F.col("b") == F.col("id")) & (F.col("band") == F.col("vb"))).drop("id", "vb")
-    star = star.join(vectors.withColumnRenamed("v", "vh"), (F.col("a") == F.col("id")) & (F.col("band") == F.col("vb"))).select("a", "b", "va", "vh")
-    star = scratch.save(star.mapInArrow(_bounded(bands), "a long, b long").distinct(), "star")
+    late = np.zeros(0, dtype=U64)
+    for count in range(COUNTS + 1):
+        rows = scratch.save(narrow.mapInArrow(_features(n, t, context.broadcast(late)), FEATURES), "features")
+        same = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+        # representatives are those whose set no smaller id has: only they take part
+        reps = rows.where("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        reps = scratch.save(reps.dropDuplicates(["doc_id"]).select("doc_id", "n", "counts", "cells"), "reps")
+        cells = reps.select("doc_id", F.explode("cells").alias("cell"))
+        shared = cells.groupBy("cell").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("end"), F.count("*").alias("m")).where("hub < end")
+        shared = scratch.save(shared.select("cell", "hub", "m"), "shared")
+        often = shared.where(F.col("m") > COMMON).orderBy(F.desc("m"), "cell").limit(MAX_COMMON).select("cell")
+        new = often.toPandas()["cell"].to_numpy(dtype=np.int64).view(U64) if count < COUNTS else late[:0]  # MAX_COMMON at most
+        more = np.union1d(late, new)
+        if len(more) == len(late) or len(more) > MAX_COMMON * COUNTS:
+            break
+        late = more
+        scratch.drop(rows, reps, shared)
+    members = scratch.save(cells.join(shared.drop("m"), "cell"), "members")
+    vectors = reps.select(F.col("doc_id").alias("id"), F.col("counts").alias("v"))
+
+    def met(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
+        """pairs with the columns of table (keyed by id) for their side; a side of many pairs meets several copies."""
+        other = "b" if side == "a" else "a"
+        often = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("copies")).where("copies > 1")
+        copies = table.join(often, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+        dealt = pairs.join(often, pairs[side] == often.id, "left").drop("id").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        return dealt.join(copies.drop("copies"), (dealt[side] == copies.id) & (dealt["copy"] == copies["copy"])).drop("id", "copy")
+
+    star = scratch.save(members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    near = met(met(star, vectors.withColumnRenamed("v", "vb"), "b"), vectors.withColumnRenamed("v", "va"), "a")
+    star = scratch.save(near.select("a", "b", "va", "vb").mapInArrow(_bounded(t), "a long, b long"), "near")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = scratch.save(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "doc_id long, set binary"), "sets")
-        left, right = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-        return scratch.save(pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(bands), "a long, b long"), "links")
+        sets = scratch.save(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "id long, set binary"), "sets")
+        both = met(met(pairs, sets.withColumnRenamed("set", "set_b"), "b"), sets.withColumnRenamed("set", "set_a"), "a")
+        links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(t), "a long, b long"), "links")
+        scratch.drop(sets)
+        return links
 
     links = verify(star)
     classes = connected(links, scratch)
 
     # what the first members left open
-    own = members.join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "band", "need", "cell", F.coalesce("class", "doc_id").alias("class"))
+    own = members.join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cell", F.coalesce("class", "doc_id").alias("class"))
+    own = own.join(reps.select("doc_id", t.levels(F.col("n")).alias("levels")), "doc_id").select("doc_id", "cell", "class", F.explode("levels").alias("level"))
     own = scratch.save(own, "own")
-    for _ in range(2):
-        open_cells = own.groupBy("band", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band", "cell")
-        own = scratch.save(_enough(own.join(open_cells, ["band", "cell"], "left_semi")), "own")
-    mixed = own.groupBy("band", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
+    scratch.drop(members)
+    mixed = own.groupBy("level", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    dealt = own.join(mixed, ["band", "cell"]).withColumn("chunks", chunks).withColumn("c", part)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("band", "cell", "doc_id", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
-    blocks = dealt.groupBy("band", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
+    dealt = own.join(mixed, ["level", "cell"]).withColumn("chunks", chunks).withColumn("c", part)
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("level", "cell", "doc_id", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
+    blocks = dealt.groupBy("level", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
     # many cells hold the same members: one block stands for all of them
-    blocks = blocks.dropDuplicates(["band", "m"]).withColumn("block", F.monotonically_increasing_id())
-    blocks = scratch.save(blocks.select("block", "band", "m"), "blocks")
-    flat = blocks.select("block", "band", F.explode("m").alias("x")).select("block", "band", "x.d", "x.c", "x.s")
-    flat = flat.join(vectors, (F.col("d") == F.col("id")) & (F.col("band") == F.col("vb")))
+    blocks = blocks.dropDuplicates(["m"]).withColumn("block", F.monotonically_increasing_id())
+    blocks = scratch.save(blocks.select("block", "m"), "blocks")
+    flat = blocks.select("block", F.explode("m").alias("x")).select("block", "x.d", "x.c", "x.s").join(vectors, F.col("d") == F.col("id"))
     flat = flat.groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
-    open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(bands), "a long, b long").distinct(), "open")
+    open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(t), "a long, b long").distinct(), "open")
     more = verify(open_pairs.join(star, ["a", "b"], "left_anti"))
     classes = connected(links.union(more), scratch)
 
