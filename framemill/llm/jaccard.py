@@ -40,7 +40,7 @@ from .common import SPACES, U64, Scratch, mix, table, words_of
 
 #: A group holds PER_GROUP to 2 * PER_GROUP shingles on average, and there are 2 ** MAX_LEVEL groups at most.
 PER_GROUP, MAX_LEVEL = 4, 12
-#: Shingles that are cells of over COMMON representatives come last in the order; MAX_COMMON (0.8 MB) of them at most.
+#: Shingles that are cells of over COMMON representatives come last in the order; at most MAX_COMMON (0.8 MB) from each of COUNTS counts.
 COMMON, MAX_COMMON, COUNTS = 32, 100_000, 2
 #: A document of over HOT pairs in one role is copied, one copy for HOT pairs, when pairs meet their sets.
 BLOCK, FANOUT, SEEN, HOT = 512, 16, 1_000_000, 1_000
