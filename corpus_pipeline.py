@@ -47,8 +47,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(decontaminate.is_contaminated()).select("doc_id"))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(~decontaminate.is_contaminated()).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ Patterns are the windows of the test items: every run of WINDOW consecutive word
 A shift table by two-word block says how far the search may jump, a suffix-hash bucket names the windows that can
 end at a position, and a comparison of the words themselves confirms an occurrence.
 
-Test suites have a checked size: windows are handed to tasks in slices of at most SLICE_BYTES of item text; more
-slices mean more passes, never fewer windows. Documents are never shuffled in a single pass.
+Test suites have a checked size: windows are handed to tasks in slices of at most SLICE_BYTES of item text (a longer
+item is a slice of its own), one slice after the other, so the driver holds one at a time; more slices mean more passes,
+never fewer windows. Documents are never shuffled in a single pass; with more passes rows meet by a saved row number.
 
 Defined cases: null and empty texts have no words, no hits and are never contaminated; items without words have no
-windows; equal items are reported each under its own id; a null item_id is left out of the list; repeated rows of a
-document each get their row; extra columns of either table are ignored.
+windows; equal items are reported each under its own id; an item whose item_id is null hits but is left out of the list;
+repeated rows of a document each get their row, whatever their ids; extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import NON_WORD, table, words_of
+from .common import NON_WORD, Scratch, table, words_of
 
 WINDOW = 13
 SLICE_BYTES = 16 << 20
@@ -62,7 +64,7 @@ class WuManber:
             at += 1
 
 
-def compile_items(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
+def compile_items(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WuManber]:
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     hashes: dict[bytes, int] = {}
     for item, text in items:
@@ -72,7 +74,7 @@ def compile_items(items: list[tuple[str, str]], window: int = WINDOW) -> list[Wu
             hashes.update(zip(words, h.tolist()))
             m = min(window, len(words))
             for k in range(len(words) - m + 1 if m else 0):
-                by_length[m][tuple(words[k : k + m])].add(item)
+                by_length[m][tuple(words[k : k + m])].update([] if item is None else [item])
     return [WuManber(w, hashes, m) for m, w in sorted(by_length.items())]
 
 
@@ -83,64 +85,98 @@ def hits_of(searchers: list[WuManber], ids: list[int], word) -> tuple[list[tuple
         for first, its in s.search(ids, word):
             found.append((first, first + s.length))
             items |= its
+    return disjoint(found), items
+
+
+def disjoint(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[list[int]] = []
-    for a, b in sorted(found):
+    for a, b in sorted(ranges):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    return [tuple(x) for x in merged], items
-
+    return [tuple(x) for x in merged]
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def _slices(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in groups of a bounded size, streamed partition by partition."""
     group, size = [], 0
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     for i, t in items.toLocalIterator():
-        group.append((i, t))
-        size += len(t.encode())
-        if size >= limit:
+        more = len(t.encode())
+        if group and size + more > limit:
             yield group
             group, size = [], 0
+        group.append((i, t))
+        size += more
     if group:
         yield group
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids), ranges (flat hit word ranges, end exclusive)."""
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+RESULT = "n_words long, n_hit long, n_items long, items array<string>, ranges array<long>"
 
-    def one(group: list[tuple[str, str]]) -> DataFrame:
-        searchers = spark.sparkContext.broadcast(compile_items(group, window))
 
-        def scan(batches):
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id (or the columns to keep), n_words, n_hit, n_items, items (sorted ids), ranges (flat, disjoint hit word ranges, end exclusive)."""
+    spark = docs.sparkSession
+    rows = docs.select(*(keep or [F.col(id_col).cast("long").alias("doc_id")]), *[F.col(text_col).alias("_text")] * (text_col not in keep))
+    own = list(keep or ["doc_id"])
+    text = text_col if text_col in keep else "_text"
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    slices = -(-(items.agg(F.sum(F.octet_length("t"))).head()[0] or 0) // slice_bytes)
+
+    def scan(df: DataFrame, own: list[str], searchers, hit_only: bool = False) -> DataFrame:
+        """The columns own of df (which has the text as well) and what the searchers find."""
+        df = df.select(*own, *[text] * (text not in own))
+        at = df.columns.index(text)
+
+        def run(batches):
             for b in batches:
-                yield _scan_batch(b, searchers.value)
-
-        return narrow.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, ranges array<long>")
-
-    groups = list(_slices(benchmark, item_col, item_text, slice_bytes)) or [[]]
-    out = one(groups[0])
-    if len(groups) == 1:
-        return out
-    for g in groups[1:]:
-        out = out.unionByName(one(g))
-    # several slices: the same document's ranges and items meet by its id
-    cut = F.aggregate(
-        F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", (2 * i).cast("int")).alias("a"), F.get("ranges", (2 * i + 1).cast("int")).alias("b")))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda acc, r: F.struct((acc["n"] + F.greatest(r["b"] - F.greatest(r["a"], acc["end"]), F.lit(0).cast("long"))).alias("n"), F.greatest(acc["end"], r["b"]).alias("end")),
-    )
-    merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", F.when(F.size("ranges") > 0, cut["n"]).otherwise(0).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "ranges")
-
-
-def _scan_batch(batch: pa.RecordBatch, searchers: list[WuManber]) -> pa.RecordBatch:
-    ids = batch.column(0)
-    n_words, n_hit, items, ranges = [], [], [], []
-    for _, offsets, s, e, (h,), buf in words_of(batch.column(1), NON_WORD):
+                found = _scan_texts(b.column(at), searchers.value)
+                out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(own))), *found.columns], [*own, *found.schema.names])
+                yield out.filter(pc.greater(out.column("n_hit"), 0)) if hit_only else out
+
+        return df.mapInArrow(run, _schema(df, own, RESULT))
+
+    if slices <= 1:
+        group = [(i, t) for i, t in items.collect()]
+        return scan(rows, own, spark.sparkContext.broadcast(compile_items(group, window)))
+    # several slices: a pass each, of which only the first writes rows without hits; what belongs to a row meets by its number
+    scratch = Scratch(spark)
+    rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    passes = []
+    for group in _slices(items.repartition(slices), slice_bytes):
+        searchers = spark.sparkContext.broadcast(compile_items(group, window))
+        passes.append(scratch.save(scan(rows, ["_row"], searchers, hit_only=bool(passes)), "hits"))
+        searchers.destroy()
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("ranges")).alias("ranges"))
+    merged = merged.mapInArrow(_merge_batches, f"_row long, {RESULT}")
+    return rows.select("_row", *own).join(merged, "_row").drop("_row")
+
+
+def _schema(df: DataFrame, own: list[str], more: str) -> StructType:
+    return StructType([*(df.schema[c] for c in own), *StructType.fromDDL(more)])
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_row, n_words, items, ranges of all passes to _row and RESULT."""
+    for b in batches:
+        ranges = [disjoint(list(zip(r[::2], r[1::2]))) for r in b.column(3).to_pylist()]
+        found = _result(b.column(1).to_pylist(), ranges, b.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), *found.columns], ["_row", *found.schema.names])
+
+
+def _result(n_words: list[int], ranges: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+    n_hit = [sum(b - a for a, b in r) for r in ranges]
+    flat = [[x for ab in r for x in ab] for r in ranges]
+    return pa.RecordBatch.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(flat, pa.list_(pa.int64()))], ["n_words", "n_hit", "n_items", "items", "ranges"])
+
+
+def _scan_texts(texts: pa.Array, searchers: list[WuManber]) -> pa.RecordBatch:
+    n_words, items, ranges = [], [], []
+    for _, offsets, s, e, (h,), buf in words_of(texts, NON_WORD):
         for k in range(len(offsets) - 1):
             lo, hi = int(offsets[k]), int(offsets[k + 1])
 
@@ -149,11 +185,9 @@ def _scan_batch(batch: pa.RecordBatch, searchers: list[WuManber]) -> pa.RecordBa
 
             found, its = hits_of(searchers, h[lo:hi].tolist(), word) if hi > lo else ([], set())
             n_words.append(hi - lo)
-            n_hit.append(sum(b - a for a, b in found))
             items.append(sorted(its))
-            ranges.append([x for r in found for x in r])
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items", "ranges"]
-    return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.int64()))], names)
+            ranges.append(found)
+    return _result(n_words, ranges, items)
 
 
 def is_contaminated():
@@ -182,6 +216,6 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, st
             for k in range(len(w) - m + 1) if m else ():
                 if tuple(w[k : k + m]) in wins:
                     hit |= set(range(k, k + m))
-                    names.add(str(item))
+                    names |= set() if item is None else {str(item)}
         out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
