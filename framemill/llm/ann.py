@@ -3,8 +3,9 @@
 Trees are fitted on a bounded sample (SAMPLE vectors with the smallest md5 of their id); every vector is indexed. A
 query walks all trees through one priority queue ordered by how far it lies beyond the splits on the way to a node,
 until it has visited its budget of leaves; the budget is the least that reaches RECALL on sample queries, of the whole
-forest if none does. Queries and vectors meet by tree and leaf (large leaves in several parts), inner products in double
-precision rank the candidates, and the best of all leaves are merged.
+forest if none does. Queries and vectors meet by tree and leaf, large leaves in several parts and their queries in blocks
+of about QUERIES, each of which meets a copy of every part, so both sides of a group are bounded whatever the table's
+size. Inner products in double precision rank the candidates, and the best of all leaves are merged.
 
 Equal vectors are one point with its smallest ids, as many as a result can hold, so a vector that fills a third of the
 table is a single candidate. Vectors are lifted by one coordinate so that inner products order like distances.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 K, TREES, SAMPLE, RECALL = 20, 3, 8192, 0.97
-LEAF, PART, SEED = 2048, 8192, 7
+LEAF, PART, QUERIES, SEED = 2048, 8192, 8192, 7
 
 
 class Forest:
@@ -98,7 +99,20 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.array(col.to_pylist(), dtype=np.float64) if len(col) else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
+def meet(asked: DataFrame, indexed: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with part and block: within a tree and leaf every query and point share exactly one pair of them.
+
+    asked has query, tree, leaf (and is read twice), indexed has point, tree, leaf. Leaves without queries are left out.
+    """
+    blocks = asked.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))  # a row a leaf at most
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    asked, indexed = (df.join(F.broadcast(blocks), ["tree", "leaf"]) for df in (asked, indexed))
+    asked = asked.withColumn("block", deal("query", F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    indexed = indexed.withColumn("part", deal("point", F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return asked.drop("blocks", "query"), indexed.drop("blocks")
+
+
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on the columns of vectors."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     v = F.transform(vector_col, lambda x: x.cast("double"))
@@ -134,12 +148,14 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         f, n, far = shared.value
         for b in batches:
             visits = [f.visit(q, n) for q in _lift(_matrix(b.column(1)), far)] if b.num_rows else []
-            at = np.repeat(np.arange(b.num_rows), [len(x) for x in visits])
-            flat = np.array([y for x in visits for y in x], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1])], [*b.schema.names, "tree", "leaf"])
+            kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"tree": t, "leaf": i} for t, i in x] for x in visits], kind)], [*b.schema.names, "visits"])
 
-    indexed = points.select("v", "ids", "point").mapInArrow(index, "v array<double>, ids array<long>, point long, tree int, leaf long").withColumn("part", F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int"))
-    asked = rows.where("asks").select("vec_id", "v").mapInArrow(probe, "vec_id long, v array<double>, tree int, leaf long").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    indexed = points.select("v", "ids", "point").mapInArrow(index, "v array<double>, ids array<long>, point long, tree int, leaf long")
+    visits = rows.where("asks").select("vec_id", "v").mapInArrow(probe, "vec_id long, v array<double>, visits array<struct<tree:int,leaf:long>>")
+    visits = scratch.save(visits.withColumn("query", F.monotonically_increasing_id()), "visits")
+    asked, indexed = meet(visits.select("query", "vec_id", "v", F.inline("visits")), indexed, parts, queries)
+    group = ["tree", "leaf", "part", "block"]
 
     def rerank(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -151,12 +167,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             s = np.stack(some["v"].to_numpy()) @ x.T
             m = min(k + 1, s.shape[1])
             edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]  # ties with the last one stay
-            for i, (row, e) in enumerate(zip(s, edge)):
-                j = np.flatnonzero(row >= e - 1e-12)
-                out.append(pd.DataFrame({"query_id": some["vec_id"].iloc[i], "point": points_[j], "ids": ids[j], "score": row[j]}))
+            i, j = np.nonzero(s >= edge[:, None] - 1e-12)
+            out.append(pd.DataFrame({"query_id": some["vec_id"].to_numpy()[i], "point": points_[j], "ids": ids[j], "score": s[i, j]}))
         return pd.concat(out)
 
-    found = asked.groupBy("tree", "leaf", "part").cogroup(indexed.groupBy("tree", "leaf", "part")).applyInPandas(rerank, "query_id long, point long, ids array<long>, score double")
+    found = asked.groupBy(*group).cogroup(indexed.groupBy(*group)).applyInPandas(rerank, "query_id long, point long, ids array<long>, score double")
     best = found.groupBy("query_id", "point").agg(F.first("ids").alias("ids"), F.max("score").alias("near"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), F.get("ids", F.lit(0))))).where(F.col("n") <= 2 * k + 2)
     # exactly that measure on original vectors, added up in one order whatever leaf found the pair
