@@ -9,8 +9,8 @@ file system and a lost executor are fine; they are read back with the binaryFile
 its own: file, offset, length, doc_id, n_tokens, and the token position in its file.
 
 Texts are split where no token can span: before a space between two non-spaces. Each distinct piece is encoded once
-by the tokenizers library and kept in a bounded memo per worker; texts with other white space runs around spaces are
-encoded whole.
+by the tokenizers library and kept in a bounded memo per worker; texts with other white space runs around spaces, or
+with an added token of the tokenizer (which is its own id, as in the plain call), are encoded whole.
 
 Defined cases: a null text is empty and has the end id alone; repeated doc_ids get adjacent records; a null doc_id
 sorts first and is kept as null; an empty table writes nothing and gives no rows; extra columns are ignored.
@@ -69,7 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
 
@@ -84,7 +84,7 @@ class Encoder:
         return [raw[i:j] for i, j in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
+        if _UNSAFE.search(text) or any(t in text for t in self.added):
             return self.raw([text])[0]
         first, *rest = text.split(" ")
         pieces = [first, *[f" {p}" for p in rest]]
