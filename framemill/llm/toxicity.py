@@ -4,9 +4,10 @@ Features of a text (presence, hashed to 2**BITS coordinates): each word, each wo
 inflected forms share a coordinate), word pairs, and pairs that skip one word. Each coordinate has its own
 learning rate; L1 keeps the weights sparse, so what is broadcast is bounded by 2**BITS whatever the corpus.
 
-Training reads a bounded sample: at most MAX_TRAIN labelled documents (those with the smallest md5 of their id), of
-which the first MAX_TRAIN_CHARS characters count, in one task of bounded size, PASSES times over. A toxic example
-counts TOXIC_WEIGHT times, for they are rare. Scoring covers every word of every document.
+Training reads a bounded sample: at most MAX_TRAIN labelled documents (those with the smallest md5 of their id), PASSES
+times over in one task. Features come from the whole text, in training as in scoring; tasks extract them, and the
+training task gets the distinct coordinates alone, at most 2**BITS a document. A toxic example counts TOXIC_WEIGHT
+times, for they are rare.
 
 Defined cases: null and empty texts get the score of the intercept alone; labels that are null are not learned from;
 a document labelled twice counts twice; with no labels at all every score is 0.5; repeated documents get a row each.
@@ -15,7 +16,6 @@ a document labelled twice counts twice; with no labels at all every score is 0.5
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from .common import SPACES, U64, mix, table, words_of
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-MAX_TRAIN, MAX_TRAIN_CHARS, PASSES, TOXIC_WEIGHT = 20_000, 100_000, 3, 3.0
+MAX_TRAIN, PASSES, TOXIC_WEIGHT = 20_000, 3, 3.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.5
 REJECT = 0.7
 
@@ -75,28 +75,39 @@ def train(labelled: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) ->
     labelled has doc_id, text, label.
     """
 
+    def extract(batches):
+        for b in batches:
+            for lo, offsets, _, _, (h, *pre), _ in words_of(b.column(3), SPACES, PREFIXES):
+                f, n = text_features(h, pre, _first(offsets, len(h)), bits), len(offsets) - 1
+                own = [np.unique(f[:, offsets[k] : offsets[k + 1]]) for k in range(n)]
+                own = [i[i < 1 << bits].astype(np.int32) for i in own]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in range(3)), pa.array(own, pa.list_(pa.int32()))], ["key", "tie", "label", "at"])
+
     def learn(batches):
-        every = list(batches)
-        if not sum(map(len, every)):
-            return
-        pdf = pd.concat(every).sort_values(["key", "doc_id", "text"], kind="stable")
         rows = []
-        for lo, offsets, _, _, (h, *pre), _ in words_of(pa.array(pdf["text"].tolist(), pa.string()), SPACES, PREFIXES):
-            f = text_features(h, pre, _first(offsets, len(h)), bits)
-            for k in range(len(offsets) - 1):
-                i = np.unique(f[:, offsets[k] : offsets[k + 1]])
-                rows.append((np.append(i[i < 1 << bits], (1 << bits) + 1), float(pdf["label"].iloc[lo + k])))
+        for b in batches:
+            off, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
+            for k, (key, tie, y) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                rows.append((key, tie, y, np.append(flat[off[k] : off[k + 1]], np.int32((1 << bits) + 1))))
+        rows.sort(key=lambda r: r[:3])
         model = Ftrl((1 << bits) + 2)
         for _ in range(PASSES):
-            for i, y in rows:
+            for _, _, y, i in rows:
                 model.learn(i, y)
         at = np.flatnonzero(model.n)
         w = model.weights(at)
-        yield pd.DataFrame({"at": at[w != 0], "w": w[w != 0]})
-
-    known = labelled.select("doc_id", "text", F.col("label").cast("double").alias("label"), F.md5(F.col("doc_id").cast("string")).alias("key")).where("label is not null")
-    sample = known.withColumn("text", F.substring("text", 1, MAX_TRAIN_CHARS)).orderBy("key", "doc_id").limit(max_train)
-    total = sample.coalesce(1).mapInPandas(learn, "at long, w double").toPandas()
+        yield pa.RecordBatch.from_arrays([pa.array(at[w != 0], pa.int64()), pa.array(w[w != 0], pa.float64())], ["at", "w"])
+
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    known = labelled.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).where("label is not null")
+    known = known.select("key", F.md5("text").alias("tie"), "label", "text")
+    # the sample by its keys alone, then its texts: all rows below the last key and as many of that key as there is room for
+    last = known.select("key").orderBy("key").limit(max_train).agg(F.max("key").alias("key"), F.count("*").alias("n")).head()
+    sample = known
+    if last["n"] == max_train:
+        below = known.where(F.col("key") < last["key"])
+        sample = below.unionByName(known.where(F.col("key") == last["key"]).orderBy("tie", "label").limit(max_train - below.count()))
+    total = sample.mapInArrow(extract, "key string, tie string, label double, at array<int>").repartition(1).mapInArrow(learn, "at long, w double").toPandas()
     w = np.zeros((1 << bits) + 2, dtype=np.float32)
     w[total["at"].to_numpy(dtype=np.int64)] = total["w"]
     return w
