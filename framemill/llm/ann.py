@@ -237,7 +237,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                     visits.append([{"bucket": g, "parts": n, "leaves": own} for (g, n), own in by.items()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(visits, kind)], [*b.schema.names, "visits"])
 
-    visits = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id", "v"]).mapInArrow(probe, "vec_id long, v array<double>, visits array<struct<bucket:long,parts:int,leaves:array<long>>>")
+    asking = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id", "v"]).repartition(max(1, -(-total // (4 * queries))))
+    visits = asking.mapInArrow(probe, "vec_id long, v array<double>, visits array<struct<bucket:long,parts:int,leaves:array<long>>>")
     visits = scratch.save(visits.withColumn("query", F.monotonically_increasing_id()), "visits")
     of_leaf = spark.createDataFrame([(t, i, int(packed[0][t, i]), int(packed[1][t, i])) for t in range(forest.trees) for i in range(1 << depth)], "tree int, leaf long, bucket long, parts int")
     asked, indexed = meet(visits.select("query", "vec_id", "v", F.inline("visits")), indexed.join(F.broadcast(of_leaf), ["tree", "leaf"]), "parts", queries, ("bucket",))
