@@ -30,8 +30,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     weights = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, weights, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.REJECT).select(*docs.columns)
+    scored = toxicity.score(docs, weights, keep=tuple(docs.columns), out="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
