@@ -8,7 +8,8 @@ target exceeds their size start over, at most three times; documents are finally
 The last document of a pass is cut where the target ends, so every source takes its target to the word.
 
 Defined cases: a null text has no words; a null source is a source of its own, ordered last; sources without words have
-target 0; repeated rows each take part; an empty table gives an empty result; extra columns are kept.
+target 0; repeated rows, and rows with a null id, each take part; an empty table gives an empty result; extra columns are
+kept, but for any that has the name of a result column.
 """
 
 from __future__ import annotations
@@ -52,12 +53,15 @@ def _when(x: Column, start: Column) -> Column:
 
 
 def plan(docs: DataFrame, key: list[str], text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with size, source_size, target, taken and draws (copy, words, position), in no order."""
+    """docs with size, source_size, target, taken and draws (copy, words, position), in no order; the text only beside further columns."""
     scratch = Scratch(docs.sparkSession)
+    docs = docs.drop(*({"size", "source_size", "target", "taken", "draws"} - {*key, text_col, source_col}))
     rows = docs.withColumns({"size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "_order": order_hash(*key)}).withColumn("source", F.col(source_col))
+    # words are counted once: without further columns the counts are saved, the text is left behind
     slim = rows.select(*dict.fromkeys([*key, "source", "size", "_order"]))
-    slim = scratch.save(slim, "sizes") if set(docs.columns) <= set(slim.columns) else slim
-    rows = slim if set(docs.columns) <= set(slim.columns) else rows
+    whole = set(docs.columns) - {text_col} <= set(slim.columns)
+    slim = scratch.save(slim, "sizes") if whole else slim
+    rows = slim if whole else rows
     targets = scratch.save(source_targets(slim).withColumnRenamed("source", "_source"), "targets")
     placed = running_sum(rows, ["source"], [], "_order", "size", "_before", key)
     placed = placed.join(targets, placed["source"].eqNullSafe(F.col("_source")))

@@ -2,28 +2,31 @@
 
 A document is the set of its distinct word n-grams ("shingles"), hashed to 64 bits. Hash ranges deal the shingles out
 to groups; the group counts are the document's point. Two sets overlap in at most the sum of the coordinate minima of
-their points, which bounds a pair, and a point against the box of an R-tree node, before any set is read.
+their points, which bounds a pair, and a point against the box of an R-tree node, before any set is read. Ranges nest:
+a point of FINE groups is kept, sparse, and folds to any coarser division. Tree nodes are bounded on a coarse one, pairs
+on the fine one, which few pairs that don't link pass.
 
 A single tree over all points would be one task's work, so the tree's root is dealt out by key: linked sets share a
 shingle among the first size - ceil(t * size) + 1 of each in any fixed order of all shingles. Those shingles are the
 document's cells; documents that share a cell meet in a tree of that cell. The order is that of the hashes, with
-shingles found in many documents last, so that passages which many documents share form few cells. Which shingles
+shingles found in many different sets last, so that passages which many documents share form few cells. Which shingles
 come last changes the work, never the links.
 
-1. Equal sets fold into one representative.
+1. Equal sets are one node, whatever the ids of their rows.
 2. Each member of a shared cell meets the cell's first member; pairs that pass the bound are verified on the sets.
    Verified links give provisional classes (this settles large groups of near copies with few pairs a member).
 3. Cells that still hold several classes get an R-tree each, in blocks of bounded size; pairs of different classes
-   that the tree doesn't rule out are verified. All links together give the classes.
+   that the bounds don't rule out are verified. All links together give the classes.
 
 No link between different texts is lost: a pair that shares a cell is either in one class already or verified.
 
-The number of groups doubles with the size (a level). Hash ranges nest, so a document that a linked one of the level
-below can be near also takes part there, with neighbouring counts added.
+Trees hold points of one level of sizes (a power of two): a document also takes part in the level below if a linked
+one can be there.
 
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing; a text with fewer
-words than n is one shingle; repeated rows fold like equal sets; a null id takes part, but class ids are the smallest
-ids that are not null; extra columns are ignored.
+words than n is one shingle; repeated rows are one node; rows that share an id but not the text are nodes of their own;
+a null id takes part, but class ids are the smallest ids that are not null (null for a class without any); an empty table
+gives no rows; extra columns are ignored, or kept if named in keep.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import SPACES, U64, Scratch, mix, table, words_of
 
-#: A group holds PER_GROUP to 2 * PER_GROUP shingles on average, and there are 2 ** MAX_LEVEL groups at most.
-PER_GROUP, MAX_LEVEL = 4, 12
-#: Shingles that are cells of over COMMON representatives come last in the order; at most MAX_COMMON (0.8 MB) from each of COUNTS counts.
-COMMON, MAX_COMMON, COUNTS = 32, 100_000, 2
-#: A document of over HOT pairs in one role is copied, one copy for HOT pairs, when pairs meet their sets.
+#: A coarse group holds PER_GROUP to 2 * PER_GROUP shingles on average, with 2 ** MAX_LEVEL groups at most; 2 ** FINE fine groups.
+PER_GROUP, MAX_LEVEL, FINE = 4, 10, 16
+#: Shingles that are cells of over COMMON rows of different sets come last in the order, MAX_COMMON (0.8 MB) at most.
+COMMON, MAX_COMMON = 32, 100_000
+#: A node of over HOT pairs in one role is copied, one copy for HOT pairs, when pairs meet their sets.
 BLOCK, FANOUT, SEEN, HOT = 512, 16, 1_000_000, 1_000
 #: A list of ids up to this size (8 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -86,57 +90,90 @@ def level_of(size: int) -> int:
     return min(MAX_LEVEL, max(0, (size // PER_GROUP).bit_length() - 1))
 
 
-def point(sh: np.ndarray) -> np.ndarray:
-    """Counts by hash range, as many ranges as the level has."""
-    level = level_of(len(sh))
-    return np.bincount((sh >> U64(64 - level)).astype(np.int64) if level else np.zeros(len(sh), np.int64), minlength=1 << level)
+def pack(sh: np.ndarray) -> bytes:
+    """The fine point of a sorted set: group numbers with repeats, or all counts where there are many; a byte says which."""
+    groups = (sh >> U64(64 - FINE)).astype("<u2")
+    if len(groups) <= 3 << FINE:
+        return b"\2" + groups.tobytes()
+    return b"\4" + np.bincount(groups, minlength=1 << FINE).astype("<u4").tobytes()
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """Counts of 1 or 4 bytes each, as the first byte says."""
-    width = 1 if counts.max() < 256 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+def unpack(data) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, counts) of a fine point, groups ascending."""
+    x = np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+    if data[0] == 4:
+        at = np.flatnonzero(x)
+        return at, x[at].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[first].astype(np.int64), np.diff(np.append(first, len(x)))
 
 
-def unpack(data) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int32)
+def fold(p: tuple[np.ndarray, np.ndarray], level: int) -> np.ndarray:
+    """Counts of 2 ** level groups."""
+    return np.bincount(p[0] >> (FINE - level), weights=p[1], minlength=1 << level).astype(np.int64)
 
 
-def fold(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1)
+class Bound:
+    """Greatest overlaps with one point at a time, by summed coordinate minima of fine counts."""
 
+    def __init__(self):
+        self.dense, self.at = np.zeros(1 << FINE, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-def most(p: np.ndarray, q: np.ndarray) -> int:
-    """Greatest possible overlap: summed coordinate minima over the coarser of both divisions."""
-    groups = min(len(p), len(q))
-    return int(np.minimum(fold(p, groups), fold(q, groups)).sum())
+    def take(self, p: tuple[np.ndarray, np.ndarray]) -> None:
+        self.dense[self.at] = 0
+        self.at = p[0]
+        self.dense[self.at] = p[1]
 
+    def most(self, q: tuple[np.ndarray, np.ndarray]) -> int:
+        return int(np.minimum(self.dense[q[0]], q[1]).sum())
 
-FEATURES = "doc_id long, n long, set_a long, set_b long, counts binary, cells array<long>"
 
+KEY = ["n", "set_a", "set_b"]
+OF_SET = "n long, set_a long, set_b long"
 
-def _features(n: int, t: Threshold, common: Broadcast):
+
+def _of_set(sh: np.ndarray) -> tuple[int, int, int]:
+    """What tells a set from all others: its size and two sums of hashes."""
+    return len(sh), int(sh.sum().view(np.int64)), int(mix(sh ^ U64(0xA24BAED4963EE407)).sum().view(np.int64))
+
+
+def _cells(sh: np.ndarray, t: Threshold, last: np.ndarray) -> np.ndarray:
+    first = t.cells(len(sh))
+    if not len(last):
+        return sh[:first]
+    late = last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh
+    return np.concatenate((sh[~late], sh[late]))[:first]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)], dtype=np.int32)), pa.array(flat))
+
+
+def _counted(n: int, t: Threshold):
+    """set_a and cells of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for _, off, _, _, (h,), _ in words_of(b.column(b.num_columns - 1), SPACES):
+                sets = [shingles(h[off[k] : off[k + 1]], n) for k in range(len(off) - 1)]
+                sets = [sh for sh in sets if len(sh)]
+                yield pa.RecordBatch.from_arrays([pa.array([_of_set(sh)[1] for sh in sets], pa.int64()), _lists([sh[: t.cells(len(sh))] for sh in sets])], ["set_a", "cells"])
+
+    return run
+
+
+def _features(n: int, t: Threshold, common: Broadcast, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]):
-        last = common.value
+        last, none = common.value, np.zeros(0, dtype=U64)
         for b in batches:
-            for lo, off, _, _, (h,), _ in words_of(b.column(1), SPACES):
-                size, a, c = (np.zeros(len(off) - 1, dtype=x) for x in (np.int64, U64, U64))
-                counts, cells, held = [], [], np.zeros(len(off), dtype=np.int32)
-                for k in range(len(off) - 1):
-                    sh = shingles(h[off[k] : off[k + 1]], n)
-                    if len(sh):
-                        size[k], a[k], c[k] = len(sh), sh.sum(), mix(sh ^ U64(0xA24BAED4963EE407)).sum()
-                        first = t.cells(len(sh))
-                        if len(last):
-                            late = last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh
-                            cells.append(np.concatenate((sh[~late], sh[late]))[:first])
-                        else:
-                            cells.append(sh[:first])
-                        held[k + 1] = first
-                    counts.append(pack(point(sh)) if len(sh) else b"")
-                flat = np.concatenate(cells).view(np.int64) if cells else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(held, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(size), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(counts, pa.binary()), lists], ["doc_id", "n", "set_a", "set_b", "counts", "cells"])
+            for lo, off, _, _, (h,), _ in words_of(b.column(len(keep)), SPACES):
+                sets = [shingles(h[off[k] : off[k + 1]], n) for k in range(len(off) - 1)]
+                keys = zip(*[_of_set(sh) if len(sh) else (0, 0, 0) for sh in sets])
+                counts = pa.array([pack(sh) if len(sh) else b"" for sh in sets], pa.binary())
+                cells = _lists([_cells(sh, t, last) if len(sh) else none for sh in sets])
+                own = [b.column(i).slice(lo, len(sets)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(k, pa.int64()) for k in keys), counts, cells], [*keep, *KEY, "counts", "cells"])
 
     return run
 
@@ -171,27 +208,45 @@ class RTree:
         return own[np.minimum(q, p).sum(axis=1) >= t.need(size, q.sum(axis=1))]
 
 
+def _near(ids, classes, side, points, t: Threshold, bound: Bound) -> Iterator[tuple[int, int]]:
+    """Pairs of different classes in one block that their points allow, the smaller node first."""
+    sizes = np.array([int(p[1].sum()) for p in points])
+    tree = None
+    if len(ids) > FANOUT:
+        level = level_of(int(sizes.max()))
+        coarse = np.stack([fold(p, level) for p in points])
+        tree = RTree(coarse)
+    every = np.arange(len(ids))
+    for i in every:
+        j = tree.search(coarse[i], t) if tree else every
+        j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+        need = t.need(int(sizes[i]), sizes[j])
+        j, need = j[np.minimum(sizes[j], sizes[i]) >= need], need[np.minimum(sizes[j], sizes[i]) >= need]
+        if len(j):
+            bound.take(points[i])
+            for o, least in zip(j.tolist(), need.tolist()):
+                if bound.most(points[o]) >= least:
+                    yield int(ids[i]), int(ids[o])
+
+
 def _tree_join(t: Threshold):
-    """Pairs of different classes in one block that their points allow, each once a task as far as SEEN pairs are remembered."""
+    """Pairs that the points allow, each once a task as far as SEEN pairs are remembered."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
+        bound = Bound()
         for b in batches:
-            pairs = []
-            for members in b.column(0):
-                m = members.as_py()
-                ids, classes, side = (np.array([x[k] for x in m]) for k in ("d", "c", "s"))
-                vectors = [unpack(x["v"]) for x in m]
-                groups = min(map(len, vectors))
-                points = np.stack([fold(v, groups) for v in vectors])
-                tree = RTree(points)
-                for i in range(len(m)):
-                    j = tree.search(points[i], t)
-                    j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-                    new = [x for x in ((int(ids[i]), y) for y in ids[j].tolist()) if x not in seen]
-                    pairs += new
-                    if len(seen) < SEEN:
-                        seen.update(new)
+            blocks = b.column(0)
+            inner = blocks.flatten()
+            ends = np.concatenate(([0], np.cumsum(blocks.value_lengths().to_numpy())))
+            d, c, s = (inner.field(k).to_numpy() for k in range(3))
+            vectors, pairs = inner.field(3), []
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                points = [unpack(v.as_buffer()) for v in vectors[lo:hi]]
+                new = [x for x in _near(d[lo:hi], c[lo:hi], s[lo:hi], points, t, bound) if x not in seen]
+                pairs += new
+                if len(seen) < SEEN:
+                    seen.update(new)
             left, right = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -202,11 +257,13 @@ def _bounded(t: Threshold):
     """Pairs whose points allow a link."""
 
     def run(batches):
+        bound = Bound()
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = unpack(x), unpack(y)
-                keep.append(most(p, q) >= t.need(int(p.sum()), int(q.sum())))
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = unpack(x.as_buffer()), unpack(y.as_buffer())
+                bound.take(p)
+                keep.append(bound.most(q) >= t.need(int(p[1].sum()), int(q[1].sum())))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -227,11 +284,15 @@ def _verified(t: Threshold):
 
 
 def _sets(n: int):
+    """The sets of texts, each with what tells it from others."""
+
     def run(batches):
         for b in batches:
-            for lo, off, _, _, (h,), _ in words_of(b.column(1), SPACES):
-                out = [shingles(h[off[k] : off[k + 1]], n).tobytes() for k in range(len(off) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(off) - 1), pa.array(out, pa.binary())], ["doc_id", "set"])
+            for _, off, _, _, (h,), _ in words_of(b.column(0), SPACES):
+                sets = [shingles(h[off[k] : off[k + 1]], n) for k in range(len(off) - 1)]
+                sets = [sh for sh in sets if len(sh)]
+                keys = list(zip(*map(_of_set, sets))) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array([sh.tobytes() for sh in sets], pa.binary())], [*KEY, "set"])
 
     return run
 
@@ -255,33 +316,35 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "class")
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id that links reach, the own id included).
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (4, 5), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id that links reach, the own id included), node (a number of the
+    class, null without shingles) and the columns to keep.
 
     Documents link when q * intersection >= p * union, similarity being (p, q).
     """
     scratch, t, context = Scratch(docs.sparkSession), Threshold(similarity), docs.sparkSession.sparkContext
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = ["n", "set_a", "set_b"]
-    late = np.zeros(0, dtype=U64)
-    for count in range(COUNTS + 1):
-        rows = scratch.save(narrow.mapInArrow(_features(n, t, context.broadcast(late)), FEATURES), "features")
-        same = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-        # representatives are those whose set no smaller id has: only they take part
-        reps = rows.where("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        reps = scratch.save(reps.dropDuplicates(["doc_id"]).select("doc_id", "n", "counts", "cells"), "reps")
-        cells = reps.select("doc_id", F.explode("cells").alias("cell"))
-        shared = cells.groupBy("cell").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("end"), F.count("*").alias("m")).where("hub < end")
-        shared = scratch.save(shared.select("cell", "hub", "m"), "shared")
-        often = shared.where(F.col("m") > COMMON).orderBy(F.desc("m"), "cell").limit(MAX_COMMON).select("cell")
-        new = often.toPandas()["cell"].to_numpy(dtype=np.int64).view(U64) if count < COUNTS else late[:0]  # MAX_COMMON at most
-        more = np.union1d(late, new)
-        if len(more) == len(late) or len(more) > MAX_COMMON * COUNTS:
-            break
-        late = more
-        scratch.drop(rows, reps, shared)
-    members = scratch.save(cells.join(shared.drop("m"), "cell"), "members")
-    vectors = reps.select(F.col("doc_id").alias("id"), F.col("counts").alias("v"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    kept = narrow.columns[:-1]
+
+    # shingles that are cells of many different sets
+    cells = narrow.select("_text").mapInArrow(_counted(n, t), "set_a long, cells array<long>").select("set_a", F.explode("cells").alias("cell"))
+    often = cells.groupBy("cell").agg(F.count("*").alias("m"), F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where((F.col("m") > COMMON) & (F.col("lo") != F.col("hi")))
+    often = often.orderBy(F.desc("m"), "cell").limit(MAX_COMMON).select("cell").toPandas()["cell"]  # MAX_COMMON at most
+    common = context.broadcast(np.sort(often.to_numpy(dtype=np.int64).view(U64)))
+
+    schema = StructType([*narrow.schema.fields[:-1], *StructType.fromDDL(f"{OF_SET}, counts binary, cells array<long>").fields])
+    rows = scratch.save(narrow.mapInArrow(_features(n, t, common, kept), schema), "features")
+    own = rows.select("doc_id", *KEY, "counts", "cells").where("n > 0")
+    sets = own.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    sets = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    # a set's point and cells come from a row with its smallest id
+    named = sets.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("rep").alias("_rep"), "node")
+    nodes = own.join(named, own["doc_id"].eqNullSafe(F.col("_rep")) & (own["n"] == F.col("_n")) & (own["set_a"] == F.col("_set_a")) & (own["set_b"] == F.col("_set_b")))
+    nodes = scratch.save(nodes.dropDuplicates(["node"]).select("node", "n", "counts", "cells"), "nodes")
+    cells = nodes.select("node", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("end")).where("hub < end")
+    members = scratch.save(cells.join(shared.select("cell", "hub"), "cell"), "members")
+    vectors = nodes.select(F.col("node").alias("id"), F.col("counts").alias("v"))
 
     def met(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
         """pairs with the columns of table (keyed by id) for their side; a side of many pairs meets several copies."""
@@ -291,49 +354,65 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         dealt = pairs.join(often, pairs[side] == often.id, "left").drop("id").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
         return dealt.join(copies.drop("copies"), (dealt[side] == copies.id) & (dealt["copy"] == copies["copy"])).drop("id", "copy")
 
-    star = scratch.save(members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    star = scratch.save(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
     near = met(met(star, vectors.withColumnRenamed("v", "vb"), "b"), vectors.withColumnRenamed("v", "va"), "a")
     star = scratch.save(near.select("a", "b", "va", "vb").mapInArrow(_bounded(t), "a long, b long"), "near")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        sets = scratch.save(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "id long, set binary"), "sets")
-        both = met(met(pairs, sets.withColumnRenamed("set", "set_b"), "b"), sets.withColumnRenamed("set", "set_a"), "a")
-        links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(t), "a long, b long"), "links")
-        scratch.drop(sets)
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = scratch.save(sets.join(asked, "node", "left_semi").select("node", "rep", *KEY), "asked")
+        small = asked.count() <= BROADCAST_IDS
+        hint = F.broadcast if small else (lambda df: df)
+        ids = asked.select(F.col("rep").alias("_rep")).distinct()
+        texts = narrow.join(hint(ids), narrow["doc_id"].eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+        found = texts.mapInArrow(_sets(n), f"{OF_SET}, set binary").join(hint(asked.drop("rep")), KEY)
+        found = scratch.save(found.dropDuplicates(["node"]).select(F.col("node").alias("id"), "set"), "found")
+        both = met(met(pairs, found.withColumnRenamed("set", "sb"), "b"), found.withColumnRenamed("set", "sa"), "a")
+        links = scratch.save(both.select("a", "b", "sa", "sb").mapInArrow(_verified(t), "a long, b long"), "links")
+        scratch.drop(found, asked)
         return links
 
     links = verify(star)
-    classes = connected(links, scratch)
+    classes = connected(links, scratch).withColumnRenamed("node", "id")
 
     # what the first members left open
-    own = members.join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cell", F.coalesce("class", "doc_id").alias("class"))
-    own = own.join(reps.select("doc_id", t.levels(F.col("n")).alias("levels")), "doc_id").select("doc_id", "cell", "class", F.explode("levels").alias("level"))
+    own = members.join(classes, F.col("node") == F.col("id"), "left").select("node", "cell", F.coalesce("class", "node").alias("class"))
+    own = own.join(nodes.select("node", t.levels(F.col("n")).alias("levels")), "node").select("node", "cell", "class", F.explode("levels").alias("level"))
     own = scratch.save(own, "own")
     scratch.drop(members)
     mixed = own.groupBy("level", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = own.join(mixed, ["level", "cell"]).withColumn("chunks", chunks).withColumn("c", part)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("level", "cell", "doc_id", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
-    blocks = dealt.groupBy("level", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("level", "cell", "node", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
+    blocks = dealt.groupBy("level", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
     # many cells hold the same members: one block stands for all of them
     blocks = blocks.dropDuplicates(["m"]).withColumn("block", F.monotonically_increasing_id())
     blocks = scratch.save(blocks.select("block", "m"), "blocks")
+    scratch.drop(own)
     flat = blocks.select("block", F.explode("m").alias("x")).select("block", "x.d", "x.c", "x.s").join(vectors, F.col("d") == F.col("id"))
     flat = flat.groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
     open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(t), "a long, b long").distinct(), "open")
+    scratch.drop(blocks)
     more = verify(open_pairs.join(star, ["a", "b"], "left_anti"))
-    classes = connected(links.union(more), scratch)
-
-    found = rows.select("doc_id", *key).join(same, key, "left")
-    return found.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep", "doc_id").alias("component_id"))
+    classes = connected(links.union(more), scratch).withColumnRenamed("node", "id")
+
+    named = sets.join(classes, F.col("node") == F.col("id"), "left").select(*KEY, "rep", "m", F.coalesce("class", "node").alias("node"))
+    least = named.groupBy("node").agg(F.min("rep").alias("component_id"))
+    named = scratch.save(named.join(least, "node").select(*KEY, "m", "node", "component_id"), "named")
+    rows = rows.select(*kept, *KEY)
+    out = [*kept, F.col("n").alias("n_shingles"), "component_id", "node"]
+    none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "node": F.lit(None).cast("long")}).select(*out)
+    some = rows.where("n > 0")
+    hot = scratch.save(named.where(F.col("m") > HOT).drop("m"), "hot")  # sets with more than HOT rows
+    if hot.isEmpty() or hot.count() > BROADCAST_IDS:
+        return none.unionByName(some.join(named.drop("m"), KEY).select(*out))
+    rest = some.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti").join(named.where(F.col("m") <= HOT).drop("m"), KEY)
+    return none.unionByName(some.join(F.broadcast(hot), KEY).select(*out)).unionByName(rest.select(*out))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, similarity=(9, 10))
+    return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, similarity=(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
 def brute_force(docs: list[tuple[int, str | None]], n: int, similarity: tuple[int, int]) -> list[tuple]:

@@ -8,8 +8,9 @@ documents first, which fill the shards below, so counts are at most one apart (l
 
 What reaches the driver has a row per shard or pair of shards. Ranks come from bucketed sums, never from one task.
 
-Defined cases: null texts link with nothing and have no bytes; repeated rows each get a slot; an empty table gives an
-empty result; fewer documents than shards leave shards empty; extra columns are ignored.
+Defined cases: null texts link with nothing and have no bytes; repeated rows, and rows with a null id, each get a slot;
+an empty table gives an empty result; fewer documents than shards leave shards empty; extra columns are kept by
+balanced_shards, but for any named shard or slot, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ def _quotas(asked: dict[tuple[int, int], int], sizes: list[int], capacity: int)
 def balanced_shards(docs: DataFrame, link: list[str], key: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """docs with shard and slot. link: columns whose equal values link rows (null: none); key: columns that name a row."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    docs = docs.drop("shard", "slot")
     state = docs.withColumns({"_order": order_hash(*key), "_linked": F.lit(True)})
     for c in link:
         state = state.withColumn("_linked", F.col("_linked") & F.col(c).isNotNull())
@@ -80,9 +82,9 @@ def balanced_shards(docs: DataFrame, link: list[str], key: list[str], shards: in
     return stay.unionByName(over.select(*names, "shard", slot.cast("long").alias("slot")))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size and text_crc32 with the columns that tell equal texts."""
-    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"))
+def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, size and text_crc32 with the columns that tell equal texts."""
+    return docs.select(*keep, (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"))
 
 
 LINK = ["text_hash", "text_crc32", "size"]
