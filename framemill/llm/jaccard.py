@@ -2,9 +2,9 @@
 
 A document is the set of its distinct word n-grams ("shingles"), hashed to 64 bits. Hash ranges deal the shingles out
 to groups; the group counts are the document's point. Two sets overlap in at most the sum of the coordinate minima of
-their points, which bounds a pair, and a point against the box of an R-tree node, before any set is read. Ranges nest:
-a point of FINE groups is kept, sparse, and folds to any coarser division. Tree nodes are bounded on a coarse one, pairs
-on the fine one, which few pairs that don't link pass.
+their points, which bounds a pair, and a point against the box of an R-tree node, before any set is read. Ranges nest,
+so a point folds to any coarser division: tree nodes are bounded on a coarse one, pairs on one with a group or two a
+shingle, which few pairs that don't link pass.
 
 A single tree over all points would be one task's work, so the tree's root is dealt out by key: linked sets share a
 shingle among the first size - ceil(t * size) + 1 of each in any fixed order of all shingles. Those shingles are the
@@ -15,8 +15,9 @@ come last changes the work, never the links.
 1. Equal sets are one node, whatever the ids of their rows.
 2. Each member of a shared cell meets the cell's first member; pairs that pass the bound are verified on the sets.
    Verified links give provisional classes (this settles large groups of near copies with few pairs a member).
-3. Cells that still hold several classes get an R-tree each, in blocks of bounded size; pairs of different classes
-   that the bounds don't rule out are verified. All links together give the classes.
+3. Cells that still hold several classes get an R-tree each, in blocks of bounded size. Of the pairs of different classes
+   that the bounds don't rule out, those that would span a block are verified first, which merges dense groups with
+   fewer pairs than members; then all pairs of classes that are still apart. All links together give the classes.
 
 No link between different texts is lost: a pair that shares a cell is either in one class already or verified.
 
@@ -42,7 +43,7 @@ from pyspark.sql.types import StructType
 
 from .common import SPACES, U64, Scratch, mix, table, words_of
 
-#: A coarse group holds PER_GROUP to 2 * PER_GROUP shingles on average, with 2 ** MAX_LEVEL groups at most; 2 ** FINE fine groups.
+#: A coarse group holds PER_GROUP to 2 * PER_GROUP shingles on average; 2 ** MAX_LEVEL coarse and 2 ** FINE fine groups at most.
 PER_GROUP, MAX_LEVEL, FINE = 4, 10, 16
 #: Shingles that are cells of over COMMON rows of different sets come last in the order, MAX_COMMON (0.8 MB) at most.
 COMMON, MAX_COMMON = 32, 100_000
@@ -80,6 +81,10 @@ class Threshold:
         """How many of its first shingles a set shares at least one of with any linked set."""
         return size + (-self.p * size // self.q) + 1
 
+    def sizes(self, a: Column, b: Column) -> Column:
+        """Whether sets of sizes a and b can link at all."""
+        return F.least(a, b) * self.q >= F.greatest(a, b) * self.p
+
     def levels(self, n: Column) -> Column:
         """The own level, and the one below if a linked set can be there."""
         level = lambda size: F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.floor(F.log2(size / PER_GROUP + 1e-9)))).cast("int")
@@ -91,41 +96,32 @@ def level_of(size: int) -> int:
 
 
 def pack(sh: np.ndarray) -> bytes:
-    """The fine point of a sorted set: group numbers with repeats, or all counts where there are many; a byte says which."""
-    groups = (sh >> U64(64 - FINE)).astype("<u2")
-    if len(groups) <= 3 << FINE:
-        return b"\2" + groups.tobytes()
-    return b"\4" + np.bincount(groups, minlength=1 << FINE).astype("<u4").tobytes()
-
-
-def unpack(data) -> tuple[np.ndarray, np.ndarray]:
-    """(groups, counts) of a fine point, groups ascending."""
-    x = np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
-    if data[0] == 4:
-        at = np.flatnonzero(x)
-        return at, x[at].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    return x[first].astype(np.int64), np.diff(np.append(first, len(x)))
+    """The point of a set, with as many groups as shingles or up to twice as many: a byte for the width, then the counts, two to a byte if all are small."""
+    level = min(FINE, (len(sh) - 1).bit_length())
+    counts = np.bincount((sh >> U64(64 - level)).astype(np.int64) if level else np.zeros(len(sh), np.int64), minlength=1 << level)
+    if level and counts.max() < 16:
+        return b"\0" + (counts[::2] | counts[1::2] << 4).astype("u1").tobytes()
+    return b"\4" + counts.astype("<u4").tobytes()
 
 
-def fold(p: tuple[np.ndarray, np.ndarray], level: int) -> np.ndarray:
-    """Counts of 2 ** level groups."""
-    return np.bincount(p[0] >> (FINE - level), weights=p[1], minlength=1 << level).astype(np.int64)
+def unpack(data) -> np.ndarray:
+    if data[0]:
+        return np.frombuffer(data, dtype="<u4", offset=1).astype(np.int64)
+    x = np.frombuffer(data, dtype="u1", offset=1)
+    out = np.empty(2 * len(x), dtype=np.int64)
+    out[::2], out[1::2] = x & 15, x >> 4
+    return out
 
 
-class Bound:
-    """Greatest overlaps with one point at a time, by summed coordinate minima of fine counts."""
+def fold(p: np.ndarray, level: int) -> np.ndarray:
+    """Counts of at most 2 ** level groups."""
+    return p if len(p) <= 1 << level else p.reshape(1 << level, -1).sum(axis=1)
 
-    def __init__(self):
-        self.dense, self.at = np.zeros(1 << FINE, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def take(self, p: tuple[np.ndarray, np.ndarray]) -> None:
-        self.dense[self.at] = 0
-        self.at = p[0]
-        self.dense[self.at] = p[1]
-
-    def most(self, q: tuple[np.ndarray, np.ndarray]) -> int:
-        return int(np.minimum(self.dense[q[0]], q[1]).sum())
+def most(p: np.ndarray, q: np.ndarray) -> int:
+    """Greatest possible overlap: summed coordinate minima over the coarser of both divisions."""
+    level = min(len(p), len(q)).bit_length() - 1
+    return int(np.minimum(fold(p, level), fold(q, level)).sum())
 
 
 KEY = ["n", "set_a", "set_b"]
@@ -195,46 +191,55 @@ class RTree:
             if len(low) == 1:
                 break
 
-    def search(self, p: np.ndarray, t: Threshold) -> np.ndarray:
-        """Indexes of the points whose greatest overlap with p reaches what a link needs."""
-        size, nodes = int(p.sum()), np.zeros(1, dtype=np.int64)
+    def search(self, queries: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) for the tree's points numbered by queries and all points behind boxes that allow a link, all queries going down together."""
+        sizes = self.points.sum(axis=1)
+        q, nodes = queries, np.zeros(len(queries), dtype=np.int64)
         for least, high in reversed(self.levels):
-            nodes = nodes[nodes < len(high)]
-            bound = np.minimum(high[nodes], p).sum(axis=1)
-            nodes = nodes[bound >= t.need(size, np.minimum(least[nodes], bound))]
-            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        own = self.order[nodes[nodes < len(self.points)]]
-        q = self.points[own]
-        return own[np.minimum(q, p).sum(axis=1) >= t.need(size, q.sum(axis=1))]
-
-
-def _near(ids, classes, side, points, t: Threshold, bound: Bound) -> Iterator[tuple[int, int]]:
-    """Pairs of different classes in one block that their points allow, the smaller node first."""
-    sizes = np.array([int(p[1].sum()) for p in points])
-    tree = None
-    if len(ids) > FANOUT:
-        level = level_of(int(sizes.max()))
-        coarse = np.stack([fold(p, level) for p in points])
-        tree = RTree(coarse)
-    every = np.arange(len(ids))
-    for i in every:
-        j = tree.search(coarse[i], t) if tree else every
-        j = j[(ids[j] > ids[i]) & (classes[j] != classes[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-        need = t.need(int(sizes[i]), sizes[j])
-        j, need = j[np.minimum(sizes[j], sizes[i]) >= need], need[np.minimum(sizes[j], sizes[i]) >= need]
-        if len(j):
-            bound.take(points[i])
-            for o, least in zip(j.tolist(), need.tolist()):
-                if bound.most(points[o]) >= least:
-                    yield int(ids[i]), int(ids[o])
-
-
-def _tree_join(t: Threshold):
-    """Pairs that the points allow, each once a task as far as SEEN pairs are remembered."""
+            q, nodes = q[nodes < len(high)], nodes[nodes < len(high)]
+            bound = np.minimum(high[nodes], self.points[q]).sum(axis=1)
+            go = bound >= t.need(sizes[q], np.minimum(least[nodes], bound))
+            q = np.repeat(q[go], FANOUT)
+            nodes = (nodes[go][:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        q, nodes = q[nodes < len(self.points)], nodes[nodes < len(self.points)]
+        return q, self.order[nodes]
+
+
+def _allowed(points: np.ndarray, i: np.ndarray, j: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of points whose summed minima reach what a link needs."""
+    sizes, step = points.sum(axis=1), max(1, (1 << 20) // points.shape[1])
+    go = [np.minimum(points[i[k : k + step]], points[j[k : k + step]]).sum(axis=1) >= t.need(sizes[i[k : k + step]], sizes[j[k : k + step]]) for k in range(0, len(i), step)]
+    go = np.concatenate(go) if go else np.zeros(0, dtype=bool)
+    return i[go], j[go]
+
+
+def _near(classes, side, points: list[np.ndarray], t: Threshold) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of different classes in one block that their points allow."""
+    fine = min(map(len, points)).bit_length() - 1
+    every = np.stack([fold(p, fine) for p in points]).astype(np.int32)
+    n, tree = len(points), None
+    if n > FANOUT:
+        tree = RTree(np.stack([fold(p, level_of(int(every.sum(axis=1).max()))) for p in every]))
+    for lo in range(0, n, 64):
+        some = np.arange(lo, min(n, lo + 64))
+        i, j = tree.search(some, t) if tree else (np.repeat(some, n), np.tile(np.arange(n), len(some)))
+        go = (i < j) & (classes[i] != classes[j]) & ((side[i] != side[j]) | (side[i] == 0))
+        i, j = i[go], j[go]
+        if tree:
+            i, j = _allowed(tree.points, i, j, t)
+        i, j = _allowed(every, i, j, t)
+        order = np.lexsort((j, i))
+        yield from zip(i[order].tolist(), j[order].tolist())
+
+
+def _tree_join(t: Threshold, spanning: bool):
+    """Pairs that the points allow, the smaller node first, each once a task as far as SEEN pairs are remembered.
+
+    spanning: only such as would join what no earlier pair of the block joins, so fewer than the block has members.
+    """
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        bound = Bound()
         for b in batches:
             blocks = b.column(0)
             inner = blocks.flatten()
@@ -242,11 +247,20 @@ def _tree_join(t: Threshold):
             d, c, s = (inner.field(k).to_numpy() for k in range(3))
             vectors, pairs = inner.field(3), []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                points = [unpack(v.as_buffer()) for v in vectors[lo:hi]]
-                new = [x for x in _near(d[lo:hi], c[lo:hi], s[lo:hi], points, t, bound) if x not in seen]
-                pairs += new
-                if len(seen) < SEEN:
-                    seen.update(new)
+                order = np.argsort(d[lo:hi]) + lo
+                ids, classes = d[order], c[order]
+                points = [unpack(vectors[k].as_buffer()) for k in order.tolist()]
+                joined = classes.copy()
+                for i, j in _near(classes, s[order], points, t):
+                    if spanning:
+                        if joined[i] == joined[j]:
+                            continue
+                        joined[joined == joined[j]] = joined[i]
+                    pair = int(ids[i]), int(ids[j])
+                    if pair not in seen:
+                        pairs.append(pair)
+                        if len(seen) < SEEN:
+                            seen.add(pair)
             left, right = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -257,13 +271,11 @@ def _bounded(t: Threshold):
     """Pairs whose points allow a link."""
 
     def run(batches):
-        bound = Bound()
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 p, q = unpack(x.as_buffer()), unpack(y.as_buffer())
-                bound.take(p)
-                keep.append(bound.most(q) >= t.need(int(p[1].sum()), int(q[1].sum())))
+                keep.append(most(p, q) >= t.need(int(p.sum()), int(q.sum())))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -341,9 +353,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = sets.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("rep").alias("_rep"), "node")
     nodes = own.join(named, own["doc_id"].eqNullSafe(F.col("_rep")) & (own["n"] == F.col("_n")) & (own["set_a"] == F.col("_set_a")) & (own["set_b"] == F.col("_set_b")))
     nodes = scratch.save(nodes.dropDuplicates(["node"]).select("node", "n", "counts", "cells"), "nodes")
-    cells = nodes.select("node", F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("end")).where("hub < end")
-    members = scratch.save(cells.join(shared.select("cell", "hub"), "cell"), "members")
+    cells = nodes.select("node", "n", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("end")).where("hub.node < end")
+    members = scratch.save(cells.join(shared.select("cell", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "cell"), "members")
     vectors = nodes.select(F.col("node").alias("id"), F.col("counts").alias("v"))
 
     def met(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
@@ -354,7 +366,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         dealt = pairs.join(often, pairs[side] == often.id, "left").drop("id").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
         return dealt.join(copies.drop("copies"), (dealt[side] == copies.id) & (dealt["copy"] == copies["copy"])).drop("id", "copy")
 
-    star = scratch.save(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    star = members.where((F.col("node") != F.col("hub")) & t.sizes(F.col("n"), F.col("hub_n")))
+    star = scratch.save(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
     near = met(met(star, vectors.withColumnRenamed("v", "vb"), "b"), vectors.withColumnRenamed("v", "va"), "a")
     star = scratch.save(near.select("a", "b", "va", "vb").mapInArrow(_bounded(t), "a long, b long"), "near")
 
@@ -372,30 +385,36 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scratch.drop(found, asked)
         return links
 
+    def across(classes: DataFrame, spanning: bool) -> DataFrame:
+        """Pairs of different classes that share a cell and that the points allow."""
+        own = members.join(classes, F.col("node") == F.col("id"), "left").select("node", "cell", F.coalesce("class", "node").alias("class"), F.explode(t.levels(F.col("n"))).alias("level"))
+        own = scratch.save(own, "own")
+        mixed = own.groupBy("level", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
+        chunks = F.ceil(F.col("m") / BLOCK).cast("int")
+        part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        dealt = own.join(mixed, ["level", "cell"]).withColumn("chunks", chunks).withColumn("c", part)
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("level", "cell", "node", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
+        blocks = dealt.groupBy("level", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
+        # many cells hold the same members: one block stands for all of them
+        blocks = blocks.dropDuplicates(["m"]).withColumn("block", F.monotonically_increasing_id())
+        blocks = scratch.save(blocks.select("block", "m"), "blocks")
+        flat = blocks.select("block", F.explode("m").alias("x")).select("block", "x.d", "x.c", "x.s").join(vectors, F.col("d") == F.col("id"))
+        flat = flat.groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
+        pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(t, spanning), "a long, b long").distinct(), "across")
+        scratch.drop(own, blocks)
+        return pairs
+
+    def merged(links: DataFrame) -> DataFrame:
+        return connected(links, scratch).withColumnRenamed("node", "id")
+
     links = verify(star)
-    classes = connected(links, scratch).withColumnRenamed("node", "id")
-
-    # what the first members left open
-    own = members.join(classes, F.col("node") == F.col("id"), "left").select("node", "cell", F.coalesce("class", "node").alias("class"))
-    own = own.join(nodes.select("node", t.levels(F.col("n")).alias("levels")), "node").select("node", "cell", "class", F.explode("levels").alias("level"))
-    own = scratch.save(own, "own")
-    scratch.drop(members)
-    mixed = own.groupBy("level", "cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = own.join(mixed, ["level", "cell"]).withColumn("chunks", chunks).withColumn("c", part)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("level", "cell", "node", "class", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 0).otherwise(F.col("c") + 1).alias("side"))
-    blocks = dealt.groupBy("level", "cell", "i", "j").agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("d"), F.col("class").alias("c"), F.col("side").alias("s")))).alias("m"))
-    # many cells hold the same members: one block stands for all of them
-    blocks = blocks.dropDuplicates(["m"]).withColumn("block", F.monotonically_increasing_id())
-    blocks = scratch.save(blocks.select("block", "m"), "blocks")
-    scratch.drop(own)
-    flat = blocks.select("block", F.explode("m").alias("x")).select("block", "x.d", "x.c", "x.s").join(vectors, F.col("d") == F.col("id"))
-    flat = flat.groupBy("block").agg(F.collect_list(F.struct("d", "c", "s", "v")).alias("m"))
-    open_pairs = scratch.save(flat.select("m").mapInArrow(_tree_join(t), "a long, b long").distinct(), "open")
-    scratch.drop(blocks)
-    more = verify(open_pairs.join(star, ["a", "b"], "left_anti"))
-    classes = connected(links.union(more), scratch).withColumnRenamed("node", "id")
+    # what the first members left open: what joins most with few pairs, then whatever is still apart
+    known = star
+    for spanning in (True, False):
+        pairs = across(merged(links), spanning).join(known, ["a", "b"], "left_anti")
+        links = scratch.save(links.union(verify(pairs)), "links")
+        known = known.union(pairs)
+    classes = merged(links)
 
     named = sets.join(classes, F.col("node") == F.col("id"), "left").select(*KEY, "rep", "m", F.coalesce("class", "node").alias("node"))
     least = named.groupBy("node").agg(F.min("rep").alias("component_id"))
