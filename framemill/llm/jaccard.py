@@ -32,6 +32,7 @@ gives no rows; extra columns are ignored, or kept if named in keep.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,18 +97,19 @@ def level_of(size: int) -> int:
 
 
 def pack(sh: np.ndarray) -> bytes:
-    """The point of a set, with as many groups as shingles or up to twice as many: a byte for the width, then the counts, two to a byte if all are small."""
+    """The point of a set, with as many groups as shingles or up to twice as many: a byte for the width, then the counts; small ones lie two to a byte, Huffman-coded, for most are 0 or 1."""
     level = min(FINE, (len(sh) - 1).bit_length())
     counts = np.bincount((sh >> U64(64 - level)).astype(np.int64) if level else np.zeros(len(sh), np.int64), minlength=1 << level)
     if level and counts.max() < 16:
-        return b"\0" + (counts[::2] | counts[1::2] << 4).astype("u1").tobytes()
+        coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+        return b"\0" + coder.compress((counts[::2] | counts[1::2] << 4).astype("u1").tobytes()) + coder.flush()
     return b"\4" + counts.astype("<u4").tobytes()
 
 
 def unpack(data) -> np.ndarray:
     if data[0]:
         return np.frombuffer(data, dtype="<u4", offset=1).astype(np.int64)
-    x = np.frombuffer(data, dtype="u1", offset=1)
+    x = np.frombuffer(zlib.decompress(memoryview(data)[1:], -15), dtype="u1")
     out = np.empty(2 * len(x), dtype=np.int64)
     out[::2], out[1::2] = x & 15, x >> 4
     return out
