@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_INSTANCES, MAX_ITEMS, DEFAULT_SIZE = 2000, 64, (1920, 1080)
 
@@ -80,11 +83,62 @@ class PoseParams(CommonParams):
     bbox_padding: float = _p(0.0, 0, 1)
     include_skeleton: bool = True
     compute_angles: bool = False
+    layout: str = "coco17"
+    smoothing: bool = False
     alpha: float = _p(0.6, 0, 1)
-    max_jump: float | None = None
+    max_jump: float | None = _p(None, 0)
     match_threshold: float = _p(0.5, 0, 1)
 
 
+#: Where a parameter lies in a request, if not under its own name.
+PATHS = {"smoothing": "smoothing.enabled", "alpha": "smoothing.alpha", "max_jump": "smoothing.max_jump", "match_threshold": "smoothing.match_threshold"}
+
+
+def resolve(given: dict, base: CommonParams) -> tuple[dict, list[str]]:
+    """All parameters by name and the names of the invalid ones, from a request's object; base has what it leaves out."""
+    values, wrong = {}, []
+    for f in fields(base):
+        default, m, v = getattr(base, f.name), f.metadata, given
+        for key in PATHS.get(f.name, f.name).split("."):
+            v = v.get(key) if isinstance(v, dict) else None
+        try:
+            if v is None:
+                v = default
+            elif f.name == "layout":
+                v = v if isinstance(v, str) else json.dumps(v)
+            elif f.name.endswith("_labels"):
+                v = [str(x) for x in v] if isinstance(v, list) else 1 / 0
+            elif isinstance(default, bool):
+                v = {True: True, False: False, "true": True, "false": False}[v]
+            elif isinstance(default, str):
+                v = v if isinstance(v, str) else 1 / 0
+            else:
+                v = (int if isinstance(default, int) else float)(v)
+        except (ArithmeticError, KeyError, TypeError, ValueError):
+            wrong.append(f.name)
+            v = default
+        if v is not None and ((m.get("low") is not None and v < m["low"]) or (m.get("high") is not None and v > m["high"]) or (m.get("choices") and v not in m["choices"])):
+            wrong.append(f.name)
+        values[f.name] = list(v) if isinstance(v, tuple) else v
+    return values, wrong
+
+
+def frame_params(text: Column, base: CommonParams) -> Column:
+    """Of a frame's JSON object: a struct of all parameters, and wrong, the names of the invalid ones."""
+    kind = lambda f: "array<string>" if f.name.endswith("_labels") else {bool: "boolean", int: "int", str: "string"}.get(type(getattr(base, f.name)), "double")
+    names = [f.name for f in fields(base)]
+
+    @F.pandas_udf(", ".join([*(f"{f.name} {kind(f)}" for f in fields(base)), "wrong array<string>"]))
+    def every(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            values, wrong = resolve(json.loads(t) if t else {}, base)
+            rows.append([*(values[n] for n in names), wrong])
+        return pd.DataFrame(rows, columns=[*names, "wrong"])
+
+    return every(text)
+
+
 def params_table(spark: SparkSession) -> DataFrame:
     """(task, name, default) of every parameter."""
     rows = [(task, f.name, str(getattr(kind(), f.name))) for task, kind in (("segmentation", SegmentationParams), ("pose", PoseParams)) for f in fields(kind)]

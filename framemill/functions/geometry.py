@@ -40,7 +40,7 @@ def from_list(v: Column, fmt: Column) -> Column:
     """A box from four numbers; format auto takes x, y, width, height where the corners don't ascend."""
     a, b, c, d = (F.get(v, F.lit(i)) for i in range(4))
     auto = F.when((c <= a) | (d <= b), "xywh").otherwise("xyxy")
-    kind = F.when(fmt == "auto", auto).otherwise(fmt)
+    kind = F.when(fmt.isin("xyxy", "xywh", "cxcywh"), fmt).otherwise(auto)
     return F.when(F.size(v) >= 4, F.when(kind == "xyxy", box(a, b, c, d)).when(kind == "xywh", box(a, b, a + c, b + d)).otherwise(box(a - c / 2, b - d / 2, a + c / 2, b + d / 2)))
 
 
@@ -90,9 +90,9 @@ def pose_area(given: Column, kps: Column) -> Column:
     return F.when(area(given) > 0, area(given)).when(F.size(visible(kps)) > 0, F.greatest(area(hull(kps)), F.lit(1.0))).otherwise(1.0)
 
 
-def oks(a: Column, b: Column, area_a: Column, area_b: Column, sigmas: list[float] = COCO17_SIGMAS) -> Column:
+def oks(a: Column, b: Column, area_a: Column, area_b: Column, sigmas: list[float] | Column = COCO17_SIGMAS) -> Column:
     """Object keypoint similarity over joints visible in both, averaged over the two areas; 0 without such joints."""
-    s = F.array(*[F.lit(float(x)) for x in sigmas])
+    s = sigmas if isinstance(sigmas, Column) else F.array(*[F.lit(float(x)) for x in sigmas])
     joint = F.zip_with(a, b, lambda p, q: F.when((p["score"] > 0) & (q["score"] > 0), (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
     var = F.transform(joint, lambda d, i: F.struct(d.alias("d"), F.pow(2 * F.coalesce(F.get(s, i), F.lit(DEFAULT_SIGMA)), F.lit(2.0)).alias("v")))
     both = F.filter(var, lambda z: z["d"].isNotNull())

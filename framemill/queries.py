@@ -9,6 +9,7 @@ from .config import PoseParams, SegmentationParams, params_table
 from .functions import geometry as G
 from .operators import instances as I
 from .operators import masks as M
+from .plans import frames as R
 from .plans import pipelines
 from .sources import payload as P
 from .streaming import smoothing as S
@@ -288,13 +289,14 @@ def q_route_task(spark, d):
     n = F.col("p_partkey") % 6
     declared = F.when(n == 0, "Keypoints").when(n == 1, "detect")
     hint = F.when(n == 2, "segmentation")
-    model = F.when(n == 3, "site-rtmpose-x").when(n == 4, "prod-base-trocr-ocr-serve-2").when(n == 5, "my-unet-9")
+    model = F.when(n == 3, "site-rtmpose-x").when(n == 4, "prod-discovered-base-trocr-ocr-serve-2").when(n == 5, "my-unet-9")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", P.route(declared, hint, model).alias("task"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted(P.MODELS)) + ") t(model_stem, task)")
+@query("""SELECT * FROM (VALUES ('discovered-yolo11-object-detection', 'detection'), ('discovered-base-detr-resnet-serve', 'detection'), ('discovered-base-detectron2-maskrcnn-serve', 'segmentation'),
+('discovered-vc-yolov8-seg', 'segmentation'), ('discovered-base-yolov8n-pose-serve', 'pose'), ('discovered-base-yolov8n-pose-v2-serve', 'pose'), ('discovered-base-trocr-ocr-serve', 'ocr')) t(model_id, task)""")
 def q_model_registry(spark, d):
-    return spark.createDataFrame(sorted(P.MODELS), "model_stem string, task string")
+    return spark.createDataFrame(sorted(P.MODELS), "model_id string, task string")
 
 
 @query()
@@ -348,3 +350,106 @@ def q_mask_kernels(spark, d):
 def q_canvas_fit(spark, d):
     c = G.canvas(F.col("p_size") * 100, F.col("p_size") * 60, 1024)
     return spark.read.parquet(f"{d}/part.parquet").withColumn("c", c).select("p_partkey", "c.w", "c.h")
+
+
+# ------------------------------------------------------------------------------------- masks, poses and batches whole
+
+HOLED = "g AS (SELECT frame, idx, x, y, w, h, CASE WHEN w >= 5 AND h >= 4 THEN (w - 4) * (h - 2) ELSE 0 END AS hole, idx % 5 AS form FROM r)"
+
+
+def holed(spark, d) -> DataFrame:
+    """Rectangles with a hole where there is room for one, as JSON masks in turn as rings, counts, compressed counts, a bitmap, and raw bytes."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    p = p.select(F.floor(F.col("p_partkey") / 8).alias("frame"), F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 40).cast("int").alias("x"), (F.col("p_size") % 30).cast("int").alias("y"), (F.col("p_partkey") % 13 + 3).cast("int").alias("w"), (F.col("p_size") % 11 + 2).cast("int").alias("h"))
+    ring = lambda a, b, c, e: F.array(a, b, c, b, c, e, a, e)
+    room = (w >= 5) & (h >= 4)
+    rings = F.when(room, F.array(ring(x, y, x + w, y + h), ring(x + 2, y + 1, x + w - 2, y + h - 1))).otherwise(F.array(ring(x, y, x + w, y + h)))
+    inside = lambda c, r: (c >= x) & (c < x + w) & (r >= y) & (r < y + h) & ~(room & (c >= x + 2) & (c < x + w - 2) & (r >= y + 1) & (r < y + h - 1))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: F.when(inside(c, r), 1).otherwise(0)))
+    column = F.transform(F.sequence(F.lit(0), w - 1), lambda c: F.when(room & (c >= 2) & (c < w - 2), F.array(F.lit(1), h - 2, F.lit(1), 64 - h)).otherwise(F.array(h, 64 - h)))
+    runs = F.flatten(column)
+    counts = F.concat(F.array(x * 64 + y), F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(64 * 64 - (x + w - 1) * 64 - y - h))
+    p = p.withColumns({"rings": rings, "rows": rows, "counts": F.transform(counts, lambda v: v.cast("bigint"))})
+    size = F.array(F.lit(64), F.lit(64))
+    raw = F.base64(F.unhex(F.array_join(F.transform(F.flatten("rows"), lambda b: F.when(b == 1, "FF").otherwise("00")), "")))
+    form = F.col("idx") % 5
+    mask = F.when(form == 0, F.to_json("rings")).when(form == 1, F.to_json(F.struct(size.alias("size"), "counts"))).when(form == 2, F.to_json(F.struct(size.alias("size"), M.leb_encoded(F.col("counts")).alias("counts")))).when(form == 3, F.to_json("rows")).otherwise(F.to_json(F.struct(F.regexp_replace(raw, "[\\r\\n]", "").alias("base64"), size.alias("size"))))
+    return p.select("frame", "idx", "w", "h", mask.alias("mask"))
+
+
+@query(f"WITH {RECTS}, {HOLED} SELECT idx, (w * h - hole)::BIGINT AS area, x::DOUBLE AS x1, y::DOUBLE AS y1, (x + w)::DOUBLE AS x2, (y + h)::DOUBLE AS y2 FROM g")
+def q_mask_decode(spark, d):
+    """Every encoding of a mask decodes to the same pixels."""
+    side, half = F.lit(64), F.lit(0.5)
+    rows = holed(spark, d).withColumn("m", M.decoded()("mask", side, side, side, side, half)).withColumn("box", G.run_box(F.col("m.runs")))
+    return _flat(rows.withColumn("area", G.run_area(F.col("m.runs"))), "idx", "area")
+
+
+@query(f"WITH {RECTS}, {HOLED} SELECT idx, 1::INT AS components, (w * h)::BIGINT AS filled, CASE WHEN w * h - hole >= 60 THEN (w * h - hole)::BIGINT ELSE 0 END AS large, 2::INT AS middle FROM g WHERE form = 0 AND hole > 0 AND h > 4")
+def q_mask_holes(spark, d):
+    """Rings with a hole: one component, two runs in a middle row, no hole after filling."""
+    side, half = F.lit(64), F.lit(0.5)
+    rows = holed(spark, d).where("idx % 5 = 0 and w >= 5 and h > 4").withColumn("m", M.decoded()("mask", side, side, side, side, half)).withColumn("box", G.run_box(F.col("m.runs")))
+    on = lambda f: f(F.col("m.runs"), side, side)
+    middle = F.size(F.filter("m.runs", lambda r: r["y"] == (F.col("box.y1") + 1).cast("int")))
+    return rows.select("idx", on(M.component_count()).alias("components"), G.run_area(on(M.fill_holes())).alias("filled"), G.run_area(on(M.drop_small(60))).alias("large"), middle.alias("middle"))
+
+
+def mask_frames(spark, d) -> DataFrame:
+    """frame_key and payload: the rectangles of a frame as instances with ring masks, eight to a frame."""
+    r = rects(spark, d)
+    points = F.flatten(F.transform("points", lambda q: F.array(q["x"], q["y"])))
+    item = F.to_json(F.struct((F.col("idx") * 37 % 100 / 100).alias("score"), (F.col("idx") % 2).cast("string").alias("label"), F.array(points).alias("segmentation"), F.lit("north").alias("zone")))
+    rows = r.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("j")))).alias("a"))
+    items = F.array_join(F.transform("a", lambda q: q["j"]), ",")
+    return rows.select(F.col("frame").cast("string").alias("frame_key"), F.concat(F.lit('{"image":{"width":64,"height":64},"predictions":['), items, F.lit("]}")).alias("payload"))
+
+
+_RIOU = "(greatest(least({a}.x+{a}.w, {b}.x+{b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y+{a}.h, {b}.y+{b}.h) - greatest({a}.y, {b}.y), 0))"
+_RI = _RIOU.format(a="k", b="x[1]")
+
+
+@query(f"""WITH {RECTS}, s AS (SELECT *, idx * 37 % 100 / 100 AS score, (idx % 2)::VARCHAR AS label, (row_number() OVER (PARTITION BY frame ORDER BY idx) - 1)::INT AS si FROM r),
+g AS (SELECT frame, list({{'si': si, 'score': score, 'label': label, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY score DESC, si) AS a FROM s WHERE score >= 0.3 GROUP BY frame),
+k AS (SELECT frame, unnest(list_reduce(list_transform(a, lambda e: [e]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.label = x[1].label AND {_RI} / (k.w*k.h + x[1].w*x[1].h - {_RI})::DOUBLE > 0.3)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS e FROM g)
+SELECT frame::VARCHAR AS frame_key, (row_number() OVER (PARTITION BY frame ORDER BY e.score DESC, e.si) - 1)::INT AS id, e.si AS source_index, e.label AS label, e.score AS score, (e.w * e.h)::DOUBLE AS area, e.x::DOUBLE AS x1, (e.y + e.h)::DOUBLE AS y2, true AS has_mask, 'north' AS zone FROM k""")
+def q_e2e_masks(spark, d):
+    """Payloads to responses: decoding, suppression by masks, order, encoding, extra fields; instances are read back from the JSON."""
+    out = R.run(mask_frames(spark, d), task="segmentation", iou_threshold=0.3).where("status_code = 200")
+    rows = out.select("frame_key", F.explode(F.try_variant_get(F.try_parse_json("response"), "$.instances", "array<variant>")).alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    return rows.select("frame_key", get("id", "int").alias("id"), get("source_index", "int").alias("source_index"), get("label", "string").alias("label"), get("score", "double").alias("score"), get("area", "double").alias("area"), get("bbox[0]", "double").alias("x1"), get("bbox[3]", "double").alias("y2"), get("has_mask", "boolean").alias("has_mask"), get("extra.zone", "string").alias("zone"))
+
+
+def pose_frames(spark, d) -> DataFrame:
+    item = F.to_json(F.struct("score", F.flatten(F.transform("keypoints", lambda k: F.array(k["x"], k["y"], k["score"]))).alias("keypoints")))
+    rows = poses(spark, d).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("j")))).alias("a"))
+    items = F.array_join(F.transform("a", lambda q: q["j"]), ",")
+    return rows.select(F.col("frame").cast("string").alias("frame_key"), F.concat(F.lit('{"image":{"width":100000,"height":100000},"poses":['), items, F.lit("]}")).alias("payload"))
+
+
+_HIDDEN = POSES.replace("p AS (", "p0 AS (", 1) + """, p AS (SELECT frame, idx, score, list_transform(kps, lambda k: {'x': k.x, 'y': k.y, 'score': CASE WHEN k.score < 0.3 THEN 0.0::DOUBLE ELSE k.score END}) AS kps FROM p0)"""
+
+
+@query(f"""WITH {OKS.replace(POSES, _HIDDEN)}, c AS (SELECT frame, j, list(i) AS hits FROM o WHERE oks > 0.7 GROUP BY frame, j),
+g AS (SELECT p.frame, list({{'idx': p.idx, 'h': coalesce(c.hits, [])}} ORDER BY p.score DESC, p.idx) AS a FROM p LEFT JOIN c ON p.frame = c.frame AND p.idx = c.j GROUP BY p.frame),
+k AS (SELECT frame, unnest(list_reduce(list_transform(a, lambda e: [e.idx]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: len(list_filter(a, lambda q: q.idx = x[1] AND list_contains(q.h, k))) > 0)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS idx FROM g),
+v AS (SELECT p.frame, p.idx, p.score, list_filter(p.kps, lambda z: z.score > 0) AS s FROM p JOIN k ON p.frame = k.frame AND p.idx = k.idx)
+SELECT frame::VARCHAR AS frame_key, (row_number() OVER (PARTITION BY frame ORDER BY score DESC, idx) - 1)::INT AS id, idx AS source_index, len(s)::INT AS visible, round_even(list_sum(list_transform(s, lambda z: z.score)) / len(s), 6) AS mean_score, round_even(list_min(list_transform(s, lambda z: z.x)), 2) AS x1, round_even(list_max(list_transform(s, lambda z: z.y)), 2) AS y2, 'person' AS label FROM v""")
+def q_pose_frames(spark, d):
+    """Payloads to pose responses: visibility, suppression by keypoint similarity, derived boxes; read back from the JSON."""
+    out = R.run(pose_frames(spark, d), task="pose").where("status_code = 200")
+    rows = out.select("frame_key", F.explode(F.try_variant_get(F.try_parse_json("response"), "$.instances", "array<variant>")).alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    return rows.select("frame_key", get("id", "int").alias("id"), get("source_index", "int").alias("source_index"), get("num_visible_keypoints", "int").alias("visible"), get("mean_keypoint_score", "double").alias("mean_score"), get("bbox[0]", "double").alias("x1"), get("bbox[3]", "double").alias("y2"), get("label", "string").alias("label"))
+
+
+@query("SELECT c_custkey AS batch_key, CASE WHEN c_custkey % 4 = 3 THEN 400 ELSE 200 END::INT AS status_code, CASE c_custkey % 4 WHEN 3 THEN 0 WHEN 2 THEN 2 ELSE 3 END::BIGINT AS count, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS failed FROM customer")
+def q_batches(spark, d):
+    """Envelopes of several items: a bad item fails alone, shared parameters reach every item, an item's own go first."""
+    seg, kps = '{"predictions":[{"score":0.9,"bbox":[1,2,30,40]}]}', '{"task":"pose","poses":[{"score":0.9,"keypoints":[1,2,1,3,4,1,5,6,1]}]}'
+    own = '{"predictions":[{"score":0.9,"bbox":[1,2,30,40]}],"params":{"confidence_threshold":0.2}}'
+    n = F.col("c_custkey") % 4
+    body = F.when(n == 0, f'{{"task":"segmentation","items":[{seg},{seg},{{"nothing":"useful"}}]}}').when(n == 1, f'[{{"task":"segmentation","predictions":[]}},{kps},{{"predictions":[]}}]').when(n == 2, f'{{"model_id":"discovered-vc-yolov8-seg","params":{{"confidence_threshold":7}},"frames":[{seg},{seg}]}}').otherwise(f'{{"items":[],"batch":{own}}}')
+    return R.run_batches(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("batch_key"), body.alias("body")))[1].select("batch_key", F.col("status_code").cast("int").alias("status_code"), "count", "failed")

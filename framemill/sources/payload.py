@@ -28,11 +28,27 @@ KEYPOINT_KEYS = ["keypoints", "kpts", "pose", "landmarks", "joints", "points"]
 COLUMN_KEYS = {"bbox": ["boxes", "bboxes", "xyxy", "rects"], "score": ["scores", "confidences", "confs", "probabilities"], "label": ["labels", "classes", "class_ids", "class_names", "categories"], "mask": ["masks", "segmentations", "segments", "polygons"], "keypoints": ["keypoints", "kpts", "poses", "landmarks"]}
 MAX_DEPTH = 4
 TRACK_KEYS = ["track_id", "id", "instance_id", "object_id", "tracker_id"]
-SIZE_KEYS = ["image", "image_size", "size", "frame", "meta", "metadata"]
+RESERVED = {*SCORE_KEYS, *LABEL_KEYS, *LABEL_ID_KEYS, *BOX_KEYS, *MASK_KEYS, *KEYPOINT_KEYS, *TRACK_KEYS, "bbox_format", "area", "segmentation_format"}
+SIZE_KEYS = ["image", "image_size", "frame", "meta", "metadata", "info", "original_size", "orig_shape"]
+SHAPE_KEYS = ["shape", "size", "image_shape"]
+WIDTH_KEYS, HEIGHT_KEYS = ["width", "w", "image_width"], ["height", "h", "image_height"]
+FRAME_WIDTH_KEYS, FRAME_HEIGHT_KEYS = ["width", "image_width", "img_width", "frame_width"], ["height", "image_height", "img_height", "frame_height"]
+PASSED_KEYS = ["frame_id", "frame_index", "timestamp", "source", "stream_id", "camera_id"]
+PARAM_KEYS = ["params", "postprocess_params", "options", "config"]
+SNIFF_KEYS = ["instances", "predictions", "detections", "results", "outputs", "poses", "segments"]
+POSE_MARKS, MASK_MARKS = ["keypoints", "kpts", "landmarks", "joints"], ["mask", "segmentation", "polygons", "contours"]
 POSE_HINTS = ["pose", "keypoint", "kpt", "hrnet", "openpose", "movenet", "blazepose", "rtmpose"]
 SEGMENTATION_HINTS = ["seg", "mask", "maskrcnn", "sam", "deeplab", "unet", "panoptic", "instance-seg"]
-#: Model stems with their tasks: an id that contains a stem (or is contained in one) has its task, first match first.
-MODELS = [("yolo11-object-detection", "detection"), ("base-detr-resnet-serve", "detection"), ("base-detectron2-maskrcnn-serve", "segmentation"), ("vc-yolov8-seg", "segmentation"), ("base-yolov8n-pose-serve", "pose"), ("base-yolov8n-pose-v2-serve", "pose"), ("base-trocr-ocr-serve", "ocr")]
+#: Model ids with their tasks. An id that contains one (or is contained in one) has its task, first match first.
+MODELS = [
+    ("discovered-yolo11-object-detection", "detection"),
+    ("discovered-base-detr-resnet-serve", "detection"),
+    ("discovered-base-detectron2-maskrcnn-serve", "segmentation"),
+    ("discovered-vc-yolov8-seg", "segmentation"),
+    ("discovered-base-yolov8n-pose-serve", "pose"),
+    ("discovered-base-yolov8n-pose-v2-serve", "pose"),
+    ("discovered-base-trocr-ocr-serve", "ocr"),
+]
 TASK_NAMES = {"pose": ["pose", "keypoint", "keypoints", "pose_estimation", "keypoint_detection"], "segmentation": ["segmentation", "segment", "instance_segmentation", "semantic_segmentation", "mask"], "detection": ["detection", "object_detection", "detect"]}
 
 
@@ -45,22 +61,24 @@ def first_of(v: dict, keys: list[str]):
     return next((low[k.lower()] for k in keys if low.get(k.lower()) is not None), None)
 
 
-def find_items(v, depth: int = 0) -> list:
-    """The list of objects in a payload; empty if there is none."""
+def find_items(v, depth: int = 0) -> tuple[list, str | None]:
+    """The list of objects in a payload and the path of its keys; empty if there is none."""
     if isinstance(v, list):
-        return v
+        return v, None
     if not isinstance(v, dict) or depth > MAX_DEPTH:
-        return []
+        return [], None
     for k in LIST_KEYS:
         x = v.get(k)
         if isinstance(x, list) and (not x or isinstance(x[0], dict)):
-            return x
-        if isinstance(x, dict) and (found := find_items(x, depth + 1)):
-            return found
-    for x in v.values():
+            return x, k
+        if isinstance(x, dict):
+            found, path = find_items(x, depth + 1)
+            if found:
+                return found, f"{k}.{path}" if path else k
+    for k, x in v.items():
         if isinstance(x, list) and x and isinstance(x[0], dict) and (first_of(x[0], SCORE_KEYS) is not None or first_of(x[0], BOX_KEYS) is not None):
-            return x
-    return []
+            return x, k
+    return [], None
 
 
 def from_columns(v: dict) -> list[dict] | None:
@@ -72,15 +90,75 @@ def from_columns(v: dict) -> list[dict] | None:
     return [{("class_id" if k == "label" and not isinstance(x, str) else k): x for k, x in o.items()} for o in out]
 
 
-def items_of(v) -> list | None:
-    """The items of an object; None if it holds no predictions."""
+def items_of(v) -> tuple[list | None, str | None]:
+    """The items of a payload and where they were; None if it holds no predictions."""
+    items, path = find_items(v)
     if not isinstance(v, dict):
-        return None
-    items = find_items(v)
+        return (items if not items or isinstance(items[0], dict) else None), path
     if items and isinstance(items[0], dict):
-        return items
+        return items, path
     columns = from_columns(v)
-    return columns if columns is not None or items else [] if any(k in v for k in LIST_KEYS) else None
+    if columns is not None:
+        return columns, "columnar"
+    return ([] if not items and any(k in v for k in LIST_KEYS) else None), path
+
+
+def _float(x) -> float | None:
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def size_of(v) -> tuple[int, int] | None:
+    """(width, height) as the payload states it; lists hold the height first."""
+
+    def pair(w, h):
+        w, h = _float(w), _float(h)
+        return (int(w), int(h)) if w and h else None
+
+    if not isinstance(v, dict):
+        return None
+    of_list = lambda x: pair(x[1], x[0]) if isinstance(x, list) and len(x) > 1 else None
+    for k in SIZE_KEYS:
+        x = v.get(k)
+        found = pair(first_of(x, WIDTH_KEYS), first_of(x, HEIGHT_KEYS)) if isinstance(x, dict) else of_list(x)
+        if found:
+            return found
+    top = pair(first_of(v, FRAME_WIDTH_KEYS), first_of(v, FRAME_HEIGHT_KEYS))
+    return top or next((x for x in (of_list(v.get(k)) for k in SHAPE_KEYS) if x), None)
+
+
+def hint_of(v) -> str | None:
+    """The task that the first object of a known list shows, or parallel arrays at the top."""
+    if not isinstance(v, dict):
+        return None
+    for k in SNIFF_KEYS:
+        x = v.get(k)
+        if isinstance(x, list) and x and isinstance(x[0], dict):
+            return "pose" if any(m in x[0] for m in POSE_MARKS) else "segmentation" if any(m in x[0] for m in MASK_MARKS) else None
+    return "pose" if isinstance(v.get("keypoints"), list) else "segmentation" if isinstance(v.get("masks"), list) else None
+
+
+def header_of(body) -> dict:
+    """What a frame needs besides its items, and those; an envelope with parameters may hold the payload."""
+    v, params = body, {}
+    if isinstance(body, dict):
+        for k in PARAM_KEYS:
+            params |= body[k] if isinstance(body.get(k), dict) else {}
+        if body.get("payload") is not None and any(k in body for k in PARAM_KEYS):
+            v = body["payload"]
+        if "previous" in body and "previous" not in params:
+            params["previous"] = body["previous"]
+    items, path = items_of(v)
+    size, named = size_of(v), v if isinstance(v, dict) else {}
+    passed = {k: named[k] for k in PASSED_KEYS if k in named}
+    body = body if isinstance(body, dict) else {}
+    return {
+        "items": items, "container": path, "width": size and size[0], "height": size and size[1], "passed": passed, "params": params, "hint": hint_of(body),
+        "frame_id": passed.get("frame_id", passed.get("frame_index")), "model": first_of(named, ["model_id", "model", "model_name"]),
+        "asked_task": body.get("task") or body.get("task_type"), "asked_model": body.get("model_id") or body.get("model") or body.get("model_name"),
+    }
 
 
 def _points(v) -> dict:
@@ -109,7 +187,8 @@ def _number(x):
 
 def fields_of(v: dict) -> dict:
     named = {"score": SCORE_KEYS, "label": LABEL_KEYS, "label_id": LABEL_ID_KEYS, "box": BOX_KEYS, "track": TRACK_KEYS}
-    return {**{n: first_of(v, keys) for n, keys in named.items()}, **_points(first_of(v, KEYPOINT_KEYS))}
+    extra = {k: x for k, x in v.items() if k not in RESERVED and k.lower() not in RESERVED}
+    return {**{n: first_of(v, keys) for n, keys in named.items()}, **_points(first_of(v, KEYPOINT_KEYS)), "mask": first_of(v, MASK_KEYS), "extra": extra or None}
 
 
 def _json_of(f, text: Column) -> Column:
@@ -129,24 +208,36 @@ def _json_of(f, text: Column) -> Column:
     return F.try_parse_json(every(text))
 
 
+HEAD = "items string, container string, image_width int, image_height int, frame_id string, model_id string, declared_task string, asked_model string, hint string, params string, passed string, known boolean"
+
+
+def _heads_of(texts: pd.Series) -> pd.DataFrame:
+    rows, plain = [], lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+    for t in texts:
+        try:
+            h = header_of(json.loads(t or "", parse_float=_number))
+            rows.append((None if h["items"] is None else json.dumps(h["items"]), h["container"], h["width"], h["height"], *(plain(h[k]) for k in ("frame_id", "model", "asked_task", "asked_model", "hint")), json.dumps(h["params"]), json.dumps(h["passed"]), True))
+        except (ValueError, RecursionError, OverflowError):
+            rows.append((None,) * 11 + (False,))
+    out = pd.DataFrame(rows, columns=[f.split()[0] for f in HEAD.split(", ")])
+    return out.astype({"image_width": "Int32", "image_height": "Int32"})
+
+
 def read_frames(frames: DataFrame, key: str = "frame_key", payload: str = "payload", max_instances: int = 2000) -> DataFrame:
-    """Frame headers: items (array of variants), container, image size, frame_id, error and status_code."""
-    text = F.trim(F.coalesce(F.col(payload), F.lit("")))
-    v = frames.withColumn("_v", F.try_parse_json(payload)).withColumn("_text", text)
-    whole = F.try_variant_get("_v", "$", "array<variant>")
-    v = v.withColumn("_found", _json_of(items_of, F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col(payload))))
-    found = F.coalesce(whole, F.try_variant_get("_found", "$", "array<variant>"))
-    size = lambda n: F.coalesce(*[F.try_variant_get("_v", f"$.{p}", "int") for p in (*(f"{k}.{n}" for k in SIZE_KEYS), n, f"image_{n}")])
-    scalar = ~F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
-    v = v.withColumns({"items": F.when(scalar, F.array().cast("array<variant>")).otherwise(found), "image_width": size("width"), "image_height": size("height"), "frame_id": F.coalesce(F.try_variant_get("_v", "$.frame_id", "string"), F.try_variant_get("_v", "$.frame_index", "string")), "model_id": F.try_variant_get("_v", "$.model_id", "string"), "declared_task": F.try_variant_get("_v", "$.task", "string")})
-    error = F.when(F.col("_text") == "", "empty body").when(F.col("_v").isNull(), "invalid JSON").when(F.col("items").isNull(), "no predictions found").when(F.size("items") > max_instances, "too many instances")
+    """Frame headers: items (array of variants), container, image size, frame_id, model_id, params and passed (JSON), declared task, hint, error and status_code."""
+    v = frames.withColumn("_h", F.pandas_udf(_heads_of, HEAD)(payload))
+    names = [f.split()[0] for f in HEAD.split(", ")][1:-1]
+    v = v.withColumns({"items": F.try_variant_get(F.try_parse_json("_h.items"), "$", "array<variant>"), **{n: F.col(f"_h.{n}") for n in names}})
+    empty = F.trim(F.coalesce(F.col(payload), F.lit(""))) == ""
+    error = F.when(empty, "empty body").when(~F.col("_h.known"), "invalid JSON").when(F.col("_h.items").isNull(), "no predictions found").when(F.size("items") > max_instances, "too many instances")
     status = F.when(error.isin("empty body", "invalid JSON"), 400).when(error == "too many instances", 413).when(error.isNotNull(), 422).otherwise(200)
-    return v.withColumns({"error": error, "status_code": status}).drop("_v", "_text", "_found")
+    return v.withColumns({"error": error, "status_code": status}).drop("_h")
 
 
-def read_instances(headers: DataFrame, key: str = "frame_key", bbox_format: str = "auto") -> DataFrame:
-    """Instances of the readable frames; elements that aren't objects are skipped but keep their place."""
-    rows = headers.where("error is null").select(key, "image_width", "image_height", F.posexplode("items").alias("source_index", "v"))
+def read_instances(headers: DataFrame, key: str = "frame_key", bbox_format: str | Column = "auto") -> DataFrame:
+    """Instances of the readable frames; elements that aren't objects are skipped but keep their place. bbox_format: a name or a column of headers."""
+    wanted = F.lit(bbox_format) if isinstance(bbox_format, str) else bbox_format
+    rows = headers.where("error is null").select(key, "image_width", "image_height", wanted.alias("_wanted"), F.posexplode("items").alias("source_index", "v"))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     v = F.col("v")
     rows = rows.withColumn("_f", _json_of(fields_of, F.to_json("v")))
@@ -156,7 +247,7 @@ def read_instances(headers: DataFrame, key: str = "frame_key", bbox_format: str
     # each probe of the payload is a column of its own, so that no later expression repeats it
     rows = rows.withColumns({
         "_list": field("box", "array<double>"),
-        "_fmt": F.coalesce(F.try_variant_get(v, "$.bbox_format", "string"), F.lit(bbox_format)),
+        "_fmt": F.coalesce(F.nullif(F.try_variant_get(v, "$.bbox_format", "string"), F.lit("")), F.col("_wanted")),
         "_id": field("label_id", "string"),
         "_flat": field("flat", "array<double>"),
         "_points": field("points", "array<array<double>>"),
@@ -166,13 +257,15 @@ def read_instances(headers: DataFrame, key: str = "frame_key", bbox_format: str
     number = F.when(F.col("_id").rlike("^-?[0-9]+$"), F.col("_id").cast("bigint"))
     full = lambda c: F.when(F.forall(c, lambda x: x.isNotNull()), F.col(c))
     box = F.coalesce(G.from_list(F.col("_list"), F.col("_fmt")), *[G.from_list(full(c), F.lit(k)) for c, k, _ in tried])
+    of_list = F.when(F.col("_fmt").isin("xyxy", "xywh", "cxcywh"), F.col("_fmt")).otherwise(G.auto_format(F.col("_list")))
+    kinds = F.coalesce(F.when(F.size("_list") >= 4, of_list), *[F.when(full(c).isNotNull(), k) for c, k, _ in tried])
     points = F.transform("_points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"), p[2].alias("score")))
     return rows.select(
         key, "source_index", "image_width", "image_height",
         F.coalesce(field("score", "double"), F.lit(1.0)).alias("score"),
         F.coalesce(field("label", "string"), F.when(number.isNull(), F.col("_id"))).alias("label"),
-        number.alias("label_id"), box.alias("box"), F.coalesce(points, G.parse_flat(F.col("_flat"))).alias("keypoints"),
-        field("track", "string").alias("track_id"), v.alias("raw"),
+        number.alias("label_id"), box.alias("box"), F.when(box.isNotNull(), kinds).alias("box_format"), F.coalesce(points, G.parse_flat(F.col("_flat"))).alias("keypoints"),
+        field("track", "string").alias("track_id"), F.nullif(F.to_json(field("mask", "variant")), F.lit("null")).alias("mask"), F.nullif(F.to_json(field("extra", "variant")), F.lit("null")).alias("extra"), v.alias("raw"),
     )
 
 
@@ -196,8 +289,47 @@ def route(declared: Column, hint: Column, model_id: Column) -> Column:
     return F.when(task == "detection", "segmentation").when(task.isin("pose", "segmentation"), task)
 
 
-def payload_hint(items: Column) -> Column:
-    """The task that the first object's keys show."""
-    first = F.get(items, F.lit(0))
-    has = lambda keys: F.greatest(*[F.coalesce(F.try_variant_get(first, f"$.{k}", "variant").isNotNull(), F.lit(False)) for k in keys])
-    return F.when(has(["keypoints", "kpts", "landmarks", "joints"]), "pose").when(has(["mask", "segmentation", "polygons", "contours"]), "segmentation")
+def previous_of(params: Column) -> Column:
+    """The instances of the previous frame among a frame's parameters: an array of variants with track and points or flat."""
+
+    def find(v) -> list | None:
+        v = v.get("previous") if isinstance(v, dict) else None
+        if isinstance(v, dict):
+            v = v.get("instances") or v.get("detections") or v.get("predictions")
+        if not isinstance(v, list):
+            return None
+        return [{**_points(x.get("keypoints") or x.get("keypoints_flat")), "track": x.get("track_id")} if isinstance(x, dict) else _points(x) for x in v]
+
+    return F.try_variant_get(_json_of(find, params), "$", "array<variant>")
+
+
+def merged_params(shared: str | None, own: Column) -> Column:
+    """JSON of both objects' members, those of own first."""
+    first = json.loads(shared or "{}")
+
+    @F.pandas_udf("string")
+    def both(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps({**first, **json.loads(t or "{}")}), na_action="ignore").astype(object)
+
+    return both(own) if first else own
+
+
+def envelope_of(body: Column) -> Column:
+    """items: each item of a batch as JSON text, with the envelope's task, model and params laid over and under its own."""
+
+    def lay(v) -> dict:
+        items, head = (v, {}) if isinstance(v, list) else (v.get("items") or v.get("frames") or v.get("batch"), v) if isinstance(v, dict) else (None, {})
+        if not isinstance(items, list):
+            return {}
+        shared = head.get("params") if isinstance(head.get("params"), dict) else {}
+        over = {k: x for k, x in (("task", head.get("task") or head.get("task_type")), ("model_id", head.get("model_id") or head.get("model"))) if x}
+        out = []
+        for x in items:
+            if isinstance(x, dict):
+                x = {**x, **over, **({"params": {**shared, **(x.get("params") or {})}} if shared else {})}
+            elif shared or over:
+                x = {"predictions": x, **over, **({"params": shared} if shared else {})}
+            out.append(json.dumps(x))
+        return {"items": out}
+
+    return _json_of(lay, body)
