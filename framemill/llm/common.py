@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -13,7 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised word hash handles at once; its temporaries take about 40 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+
+
+def trimmed(f):
+    """f over a task's batches; what it leaves unused in the worker's memory pools goes back to the system at its end."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +48,8 @@ class Scratch:
         self.spark, self.paths, self.saved = spark, {}, 0
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base}/{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import NON_WORD, Scratch, table, words_of
+from .common import NON_WORD, Scratch, table, trimmed, words_of
 
 WINDOW = 13
 SLICE_BYTES = 16 << 20
@@ -129,6 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         df = df.select(*own, *[text] * (text not in own))
         at = df.columns.index(text)
 
+        @trimmed
         def run(batches):
             for b in batches:
                 found = _scan_texts(b.column(at), searchers.value)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACES, U64, Scratch, mix, table, words_of
+from .common import SPACES, U64, Scratch, mix, table, trimmed, words_of
 
 #: A coarse group holds PER_GROUP to 2 * PER_GROUP shingles on average; 2 ** MAX_LEVEL coarse and 2 ** FINE fine groups at most.
 PER_GROUP, MAX_LEVEL, FINE = 4, 10, 16
@@ -151,6 +151,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _counted(n: int, t: Threshold):
     """set_a and cells of each text."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for _, off, _, _, (h,), _ in words_of(b.column(b.num_columns - 1), SPACES):
@@ -162,6 +163,7 @@ def _counted(n: int, t: Threshold):
 
 
 def _features(n: int, t: Threshold, common: Broadcast, keep: list[str]):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]):
         last, none = common.value, np.zeros(0, dtype=U64)
         for b in batches:
@@ -240,6 +242,7 @@ def _tree_join(t: Threshold, spanning: bool):
     spanning: only such as would join what no earlier pair of the block joins, so fewer than the block has members.
     """
 
+    @trimmed
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
@@ -272,6 +275,7 @@ def _tree_join(t: Threshold, spanning: bool):
 def _bounded(t: Threshold):
     """Pairs whose points allow a link."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             keep = []
@@ -284,6 +288,7 @@ def _bounded(t: Threshold):
 
 
 def _verified(t: Threshold):
+    @trimmed
     def run(batches):
         for b in batches:
             x, y = b.column(2), b.column(3)
@@ -300,6 +305,7 @@ def _verified(t: Threshold):
 def _sets(n: int):
     """The sets of texts, each with what tells it from others."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             for _, off, _, _, (h,), _ in words_of(b.column(0), SPACES):

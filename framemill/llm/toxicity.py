@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACES, U64, mix, table, words_of
+from .common import SPACES, U64, mix, table, trimmed, words_of
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -80,6 +80,7 @@ def train(labelled: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) ->
     labelled has doc_id, text, label.
     """
 
+    @trimmed
     def extract(batches):
         for b in batches:
             for lo, offsets, _, _, (h, *pre), _ in words_of(b.column(3), SPACES, PREFIXES):
@@ -88,19 +89,19 @@ def train(labelled: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN) ->
                 own = [i[i < 1 << bits].astype(np.int32) for i in own]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in range(3)), pa.array(own, pa.list_(pa.int32()))], ["key", "tie", "label", "at"])
 
+    @trimmed
     def learn(batches):
-        keys, flats, ends = [], [], [0]
+        keys, own = [], []
         for b in batches:
-            off, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
+            off = b.column(3).offsets.to_numpy()
+            flat = b.column(3).values.to_numpy()[off[0] : off[-1]].copy()  # one block a batch
             keys += zip(*(b.column(c).to_pylist() for c in range(3)))
-            ends += (off[1:] - off[0] + ends[-1]).tolist()
-            flats.append(flat[off[0] : off[-1]].copy())
-        every = np.concatenate(flats) if flats else np.zeros(0, np.int32)  # one block, which goes back to the system at the end
-        flats.clear()
+            own += [(flat, i, j) for i, j in zip((off[:-1] - off[0]).tolist(), (off[1:] - off[0]).tolist())]
         bias, model = np.array([(1 << bits) + 1], dtype=np.int32), Ftrl((1 << bits) + 2)
         for _ in range(PASSES):
             for k in sorted(range(len(keys)), key=keys.__getitem__):
-                model.learn(np.concatenate((every[ends[k] : ends[k + 1]], bias)), keys[k][2])
+                flat, i, j = own[k]
+                model.learn(np.concatenate((flat[i:j], bias)), keys[k][2])
         at = np.flatnonzero(model.n)
         w = model.weights(at)
         yield pa.RecordBatch.from_arrays([pa.array(at[w != 0], pa.int64()), pa.array(w[w != 0], pa.float64())], ["at", "w"])
@@ -128,6 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     rows = docs.select(*keep, *[text_col] * (text_col not in keep))
     at = rows.columns.index(text_col)
 
+    @trimmed
     def apply(batches):
         w = shared.value
         for b in batches:
