@@ -8,9 +8,9 @@ Spark writes the files (one per range of doc_ids, sized by bytes of text) throug
 file system and a lost executor are fine; they are read back with the binaryFile source. The index is a table of
 its own: file, offset, length, doc_id, n_tokens, and the token position in its file.
 
-Texts are split where no token can span: before a space between two non-spaces. Each distinct piece is encoded once
-by the tokenizers library and kept in a bounded memo per worker; texts with other white space runs around spaces, or
-with an added token of the tokenizer (which is its own id, as in the plain call), are encoded whole.
+Texts are split where no token can span: before a space between two non-spaces and, in texts without runs of white
+space, around line feeds. Distinct pieces are encoded by the tokenizers library, many in one call, and kept in a bounded
+memo per worker; a text with an added token of the tokenizer (its own id, as in the plain call) is encoded whole.
 
 Defined cases: a null text is empty and has the end id alone; repeated doc_ids get adjacent records; a null doc_id
 sorts first and is kept as null; an empty table writes nothing and gives no rows; extra columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
-FILE_BYTES, MEMO = 16 << 20, 600_000
+#: The memo holds up to MEMO pieces of up to MEMO_KEY characters; CALL new ones are encoded in one call of the library.
+FILE_BYTES, MEMO, MEMO_KEY, CALL = 16 << 20, 600_000, 64, 4096
 NO_ID = -(1 << 63)
 _MASK = 0xA282EAD8  # fixed value of the record format
 
-_UNSAFE = re.compile(r"\s\s|[\x1c-\x1f]")
+_RUNS, _ALONE = re.compile(r"\s\s|[\x1c-\x1f]"), re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, tuple] = {}
 
 
@@ -61,6 +63,15 @@ def unframe(data: memoryview):
         at += n + 17
 
 
+class _Memo(dict):
+    """Ids by key; a key that is not kept is looked up among the ids of the batch at hand."""
+
+    batch: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.batch[key]
+
+
 class Encoder:
     """Ids of texts as bytes of a fixed width, through a bounded memo of pieces."""
 
@@ -71,33 +82,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def apart(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, encoded together: the library's cost of a call and its result is paid once."""
-        e = self.tokenizer.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        """Ids of each piece, encoded as one text: no token spans two, and offsets tell which piece a token is of."""
+        e = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
         raw, width = np.array(e.ids, dtype=self.kind).tobytes(), self.kind.itemsize
-        ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)) * width).tolist()
+        starts = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e.ids))
+        bounds = np.cumsum([0, *map(len, pieces)])
+        ends = (np.searchsorted(starts, bounds) * width).tolist()
         return [raw[i:j] for i, j in zip(ends, ends[1:])]
 
-    def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or any(t in text for t in self.added):
-            return self.raw([text])[0]
-        first, *rest = text.split(" ")
-        pieces = [first, *[f" {p}" for p in rest]]
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-            got = dict(zip(new, self.apart(new)))
-            if len(memo) + len(got) <= MEMO:
-                memo.update(got)
-                return b"".join([memo[p] for p in pieces])
-            return b"".join([memo[p] if p in memo else got[p] for p in pieces])
+    def keys(self, text: str) -> list[str] | None:
+        """Pieces in order: a bare key stands for a space and itself, one that starts with a line feed for itself, and
+        one that starts with a space (the text's head) for what follows. None: the text has an added token."""
+        if any(t in text for t in self.added):
+            return None
+        parts = _ALONE.split(text) if _RUNS.search(text) else text.replace("\n", " \n").split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+
+    def fill(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of keys that the memo lacks."""
+        piece = {k: k[1:] if k[0:1] == " " else k if k[0:1] == "\n" else " " + k for k in keys}
+        # a text's head may not follow another piece, white space at an end may not precede one
+        alone = [k for k in keys if k[0:1] == " " or k[-1:].isspace() or not k]
+        got = dict(zip(alone, self.raw([piece[k] for k in alone])))
+        rest = [k for k in keys if k not in got]
+        for lo in range(0, len(rest), CALL):
+            part = rest[lo : lo + CALL]
+            got.update(zip(part, self.apart([piece[k] for k in part])))
+        return got
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        memo, split = self.memo, [self.keys(t) for t in texts]
+        new = [k for k in set().union(*[s for s in split if s]) if k not in memo]
+        cut = {k: w for k in new if (w := k.rstrip(string.punctuation)) != k and w[-1:].isalnum()}  # tokens end between a word and its marks
+        parts = {*cut.values(), *[" " + k[len(w) :] for k, w in cut.items()], *[k for k in new if k not in cut]}
+        got = self.fill([k for k in parts if k not in memo])
+        memo.batch = got
+        got.update([(k, memo[w] + memo[" " + k[len(w) :]]) for k, w in cut.items()])
+        memo.update([(k, got[k]) for k in list(got)[: max(0, MEMO - len(memo))] if len(k) <= MEMO_KEY])
+        return [self.raw([t])[0] if s is None else b"".join(map(memo.__getitem__, s)) for t, s in zip(texts, split)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -125,7 +154,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, id_col
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 ids, texts = b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist()
-                out = [frame(struct.pack("<q", NO_ID if i is None else i) + width + encoder.encode(t) + end)[:-1] for i, t in zip(ids, texts)]
+                out = [frame(struct.pack("<q", NO_ID if i is None else i) + width + e + end)[:-1] for i, e in zip(ids, encoder.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)

@@ -85,10 +85,11 @@ def test_tokens(spark, docs):
         start += len(ids)
 
 
-@pytest.mark.parametrize("t", ["a  b   c", " lead", "trail ", "a \n b", "\n\n x", "tab\tx y", "don't stop,'ll", "a\x1c b", "é 中文 𝄞", "  ", "a  b"])
+@pytest.mark.parametrize("t", ["a  b   c", " lead", "trail ", "one\ntwo, it's.\nthree'' x'", "", "\n", "a,\n", "a \n b", "\n\n x", "tab\tx y", "don't stop,'ll", "a\x1c b", "é 中文 𝄞", "  ", "a  b"])
 def test_encoder_pieces(t):
     enc = tokens.Encoder(tokens._tokenizer_path(tokens.TOKENIZER))
-    assert enc.encode(t) == enc.raw([t])[0]
+    assert enc.encode([t, f"{t} {t}", t]) == enc.raw([t, f"{t} {t}", t])
+    assert enc.encode([t])[0] == enc.raw([t])[0]  # from the memo
 
 
 def test_broken_record():
