@@ -1,7 +1,7 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped context.
 
-Seeds are the spans that the fixed patterns find. Their neighbouring words form lexical patterns. Identifier-shaped
-tokens (three digits in a row or more) outside the seeds are candidates. Spark scores the graph of patterns and
+Seeds are the spans that the fixed patterns find. Their neighbouring words, however far, form lexical patterns. Tokens
+with a digit or an at sign outside the seeds are candidates. Spark scores the graph of patterns and
 instances in turn: a pattern's confidence is the mean score of its distinct instances; an instance's score is the
 noisy-or of the confidences of its patterns (1 for seeds). After ROUNDS rounds, candidates in the context of a pattern
 with enough distinct instances and confidence are reported under kind "context".
@@ -14,6 +14,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_RUN = re.compile(r"[0-9]{3,}")
+_MARK = re.compile(r"[0-9@]")
 _WORD_CHARS = re.compile(r"[^\W_]+")
 
 
@@ -70,24 +71,35 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _key(s: str) -> str:
+    """A value or word, lower-cased, to be compared by; long ones by a hash of 128 bits."""
+    s = s.lower()
+    return s if len(s) <= 64 else hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def _around(t: str, a: int, b: int) -> tuple[str, str]:
-    """The word before and the word after a span, lower-cased."""
-    left = _WORD_CHARS.findall(t[max(0, a - 40) : a])
-    right = _WORD_CHARS.search(t[b : b + 40])
-    return (left[-1].lower() if left else ""), (right[0].lower() if right else "")
+    """The word before and the word after a span, however far."""
+    to = a
+    while to > 0 and not t[to - 1].isalnum():
+        to -= 1
+    first = to
+    while first > 0 and t[first - 1].isalnum():
+        first -= 1
+    right = _WORD_CHARS.search(t, b)
+    return _key(t[first:to]), (_key(right[0]) if right else "")
 
 
 def _candidates(t: str, taken: list[tuple[int, int, int]]):
     """Identifier-shaped tokens that overlap no seed."""
     k, done = 0, 0
     spans = sorted((a, b) for a, _, b in taken)
-    for m in _RUN.finditer(t):
+    for m in _MARK.finditer(t):
         if m.start() < done:
             continue
         a, b = m.span()
-        while a > done and (t[a - 1].isalnum() or t[a - 1] in "-_/"):
+        while a > done and (t[a - 1].isalnum() or t[a - 1] in "-_/@"):
             a -= 1
-        while b < len(t) and (t[b].isalnum() or t[b] in "-_/"):
+        while b < len(t) and (t[b].isalnum() or t[b] in "-_/@"):
             b += 1
         done = b
         while k < len(spans) and spans[k][1] <= a:
@@ -109,7 +121,7 @@ def _find(batches):
                 spans = base_spans(t)
                 base.append([{"start": a, "rank": k, "end": e} for a, k, e in spans])
                 both = [(a, e, True) for a, _, e in spans] + [(a, e, False) for a, e in _candidates(t, spans)]
-                seen.append([{"start": a, "end": e, "seed": s, "value": t[a:e][:200].lower(), **dict(zip(("left", "right"), _around(t, a, e)))} for a, e, s in both])
+                seen.append([{"start": a, "end": e, "seed": s, "value": _key(t[a:e]), **dict(zip(("left", "right"), _around(t, a, e)))} for a, e, s in both])
             kinds = (pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string())])))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array(base, kinds[0]), pa.array(seen, kinds[1])], ["doc_id", "base", "seen"])
 

@@ -74,6 +74,22 @@ def test_pii_context(spark):
     assert got[99] == [(17, 4, 24)] and not got[0]
 
 
+def test_pii_context_without_windows(spark):
+    """Words far off, identifiers without runs of digits, and long values that differ at their ends only."""
+    gap, long = " " * 500, "9" + "x" * 300
+    rows = [(i, f"reach me at{gap}a{i}@b{i}.example.org now") for i in range(40)]
+    rows += [(90, f"reach me at{gap}AB-12-XY-9 now"), (91, f"x at{gap}me@home now"), (92, f"x at {long}a now"), (93, f"only {long}b here"), (94, "at home now")]
+    got = {r.doc_id: [tuple(s) for s in r.context] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[90] == [(511, 4, 521)] and got[91] == [(504, 4, 511)] and got[92] == [(5, 4, 307)]
+    assert not got[93] and not got[94] and not got[0]
+
+
+def test_pii_repeated_rows_and_nulls(spark):
+    rows = [(1, "mail a@b.org", 7), (1, "mail a@b.org", 7), (None, None, 8), (2, "", 9)]
+    got = pii.extract(spark.createDataFrame(rows, "doc_id long, text string, base int")).collect()
+    assert sorted((r.doc_id or 0, len(r.base)) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 0)]
+
+
 def test_tokens(spark, docs):
     scratch = common.Scratch(spark)
     tokens.write_records(docs, f"{scratch.base}/r", file_bytes=1 << 20)
