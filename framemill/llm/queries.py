@@ -12,6 +12,7 @@ from .secrets import op3_secret_scan
 from .sharding import op4_label_propagation_shards
 from .tokens import op5_binary_records
 from .toxicity import op8_toxicity
+from .whitening import op11_chan_whitening
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_secret_scan, op4_label_propagation_shards, op5_binary_records, op6_context_pii, op7_curriculum_mix, op8_toxicity, op9_decontaminate, op10_rp_forest)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_secret_scan, op4_label_propagation_shards, op5_binary_records, op6_context_pii, op7_curriculum_mix, op8_toxicity, op9_decontaminate, op10_rp_forest, op11_chan_whitening)}
 SQL = {"op1_line_dedup": OP1_SQL, "op7_curriculum_mix": OP7_SQL}
