@@ -8,7 +8,8 @@ target exceeds their size start over, at most three times; documents are finally
 The last document of a pass is cut where the target ends, so every source takes its target to the word.
 
 Defined cases: a null text has no words; a null source is a source of its own, ordered last; sources without words have
-target 0; repeated rows, and rows with a null id, each take part; an empty table gives an empty result; extra columns are
+target 0; repeated rows, and rows with a null id, each take part, those of one id in the order of
+their texts' hashes, so reruns agree; an empty table gives an empty result; extra columns are
 kept, but for any that has the name of a result column.
 """
 
@@ -56,14 +57,14 @@ def plan(docs: DataFrame, key: list[str], text_col: str = "text", source_col: st
     """docs with size, source_size, target, taken and draws (copy, words, position), in no order; the text only beside further columns."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop(*({"size", "source_size", "target", "taken", "draws"} - {*key, text_col, source_col}))
-    rows = docs.withColumns({"size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "_order": order_hash(*key)}).withColumn("source", F.col(source_col))
+    rows = docs.withColumns({"size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "_order": order_hash(*key), "_tie": F.xxhash64(text_col)}).withColumn("source", F.col(source_col))
     # words are counted once: without further columns the counts are saved, the text is left behind
-    slim = rows.select(*dict.fromkeys([*key, "source", "size", "_order"]))
+    slim = rows.select(*dict.fromkeys([*key, "source", "size", "_order", "_tie"]))
     whole = set(docs.columns) - {text_col} <= set(slim.columns)
     slim = scratch.save(slim, "sizes") if whole else slim
     rows = slim if whole else rows
     targets = scratch.save(source_targets(slim).withColumnRenamed("source", "_source"), "targets")
-    placed = running_sum(rows, ["source"], [], "_order", "size", "_before", key)
+    placed = running_sum(rows, ["source"], [], "_order", "size", "_before", [*key, "size", "_tie"])
     placed = placed.join(targets, placed["source"].eqNullSafe(F.col("_source")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     placed = placed.withColumn("_passes", passes).withColumn("_rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("_passes") * F.col("source_size")))
@@ -76,7 +77,7 @@ def plan(docs: DataFrame, key: list[str], text_col: str = "text", source_col: st
 
     draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), draw), lambda d: d["words"] > 0)
     placed = placed.withColumns({"draws": F.when((F.col("target") > 0) & (F.col("size") > 0), draws).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>")), "taken": F.col("size") * F.col("_passes") + F.col("_part")})
-    return placed.drop("_order", "_before", "_passes", "_rest", "_part", "_source", "start")
+    return placed.drop("_order", "_tie", "_before", "_passes", "_rest", "_part", "_source", "start")
 
 
 def schedule(planned: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,14 +8,15 @@ with enough distinct instances and confidence are reported under kind "context".
 
 Counts cover every document; only aggregates are joined, so a common pattern costs no task more than its share.
 
-Positions count code points. Defined cases: null and empty texts have no spans; repeated rows each keep their own;
-extra columns are ignored.
+Positions count code points. Defined cases: null and empty texts have no spans; repeated rows, and rows with a null id,
+each keep their own; the work on a text of any length is linear but for the look-up of neighbours; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,16 +78,19 @@ def _key(s: str) -> str:
     return s if len(s) <= 64 else hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
-def _around(t: str, a: int, b: int) -> tuple[str, str]:
-    """The word before and the word after a span, however far."""
-    to = a
-    while to > 0 and not t[to - 1].isalnum():
-        to -= 1
-    first = to
-    while first > 0 and t[first - 1].isalnum():
-        first -= 1
-    right = _WORD_CHARS.search(t, b)
-    return _key(t[first:to]), (_key(right[0]) if right else "")
+class Words:
+    """Runs of letters and digits of a text, found in one pass; neighbours are looked up in it."""
+
+    def __init__(self, t: str):
+        self.text, runs = t, [m.span() for m in _WORD_CHARS.finditer(t)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+
+    def around(self, a: int, b: int) -> tuple[str, str]:
+        """The word before and the word after a span, however far; a run that the span cuts counts with its outer part."""
+        i, j = bisect_left(self.starts, a) - 1, bisect_right(self.ends, b)
+        left = self.text[self.starts[i] : min(a, self.ends[i])] if i >= 0 else ""
+        right = self.text[max(b, self.starts[j]) : self.ends[j]] if j < len(self.ends) else ""
+        return _key(left), _key(right)
 
 
 def _candidates(t: str, taken: list[tuple[int, int, int]]):
@@ -121,7 +125,8 @@ def _find(batches):
                 spans = base_spans(t)
                 base.append([{"start": a, "rank": k, "end": e} for a, k, e in spans])
                 both = [(a, e, True) for a, _, e in spans] + [(a, e, False) for a, e in _candidates(t, spans)]
-                seen.append([{"start": a, "end": e, "seed": s, "value": _key(t[a:e]), **dict(zip(("left", "right"), _around(t, a, e)))} for a, e, s in both])
+                words = Words(t) if both else None
+                seen.append([{"start": a, "end": e, "seed": s, "value": _key(t[a:e]), **dict(zip(("left", "right"), words.around(a, e)))} for a, e, s in both])
             kinds = (pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string())])))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array(base, kinds[0]), pa.array(seen, kinds[1])], ["doc_id", "base", "seen"])
 
