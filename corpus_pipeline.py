@@ -29,8 +29,9 @@ SAME = ["_a", "_b"]
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of all columns."""
-    return docs.withColumns({"_a": F.xxhash64(*docs.columns), "_b": F.hash(*docs.columns)})
+    """docs with two hashes of all columns and of where nulls lie, which hashes of columns skip."""
+    every = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    return docs.withColumns({"_a": F.xxhash64(*every), "_b": F.hash(*every)})
 
 
 def _hint(df: DataFrame) -> DataFrame:
