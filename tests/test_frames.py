@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -17,8 +19,8 @@ SLOW = {"q_ingest_rows"}  # covered by test_payloads
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "embeddings", "events", "part"):
-        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    for p in Path(SF).glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
     return c
 
 
