@@ -144,10 +144,10 @@ def place(df: DataFrame, heads: DataFrame, frame: list[str], mode: Column, fmt:
     says = lambda cond, *text: F.when(cond, F.concat(*[t if isinstance(t, Column) else F.lit(t) for t in text]))
     dims = F.concat_ws("x", F.col("image_width").cast("string"), F.col("image_height").cast("string"))
     warnings = F.array_compact(F.array(
-        says((fmt == "auto") & (F.col("_kinds") > 1), "mixed bbox formats inferred"),
-        says(small & ~F.col("_known"), "coordinates look normalised but the image size is unknown"),
-        says(small & F.col("_known"), "coordinates detected as normalised and scaled to pixels"),
-        says(infer & F.coalesce("_infer", F.lit(False)), "image size not supplied; inferred ", dims),
+        says((fmt == "auto") & (F.col("_kinds") > 1), "mixed bbox formats inferred across instances; set params.bbox_format explicitly ('xyxy', 'xywh' or 'cxcywh') if boxes look wrong"),
+        says(small & ~F.col("_known"), "coordinates look normalised (0..1) but no image size was supplied; leaving them as-is. Send image.width / image.height to rescale."),
+        says(small & F.col("_known"), "coordinates detected as normalised (0..1) and scaled to pixels"),
+        says(infer & F.coalesce("_infer", F.lit(False)), "image size not supplied; inferred ", dims, " from prediction extents. Send image.width / image.height for exact mask rasterisation."),
         says(infer & ~F.coalesce("_infer", F.lit(False)), "image size not supplied; assuming ", dims),
     ))
     rows = rows.withColumn("warnings", warnings)

@@ -119,9 +119,9 @@ def segmentation(inst: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFram
     polygons = F.when(F.col("runs").isNotNull() & form.isin("polygon", "both"), M.traced()("runs", "canvas.w", "canvas.h", opt("simplify_tolerance"), scale))
     counts = F.when(F.col("runs").isNotNull() & form.isin("rle", "both"), M.encode_counts()(F.col("runs"), F.col("canvas.w"), F.col("canvas.h")))
     size = F.array(F.col("canvas.h"), F.col("canvas.w"))
-    mask = F.struct(size.alias("size"), G.rounded(scale, 6).alias("scale"), F.when(form == "both", "polygon+rle").otherwise(form).alias("format"), polygons.alias("polygons"), F.when(form.isin("polygon", "both"), "image_pixels").alias("coordinate_space"), F.when(form.isin("rle", "both"), F.struct(size.alias("size"), counts.alias("counts"), F.lit("F").alias("order"))).alias("rle"))
+    mask = F.struct(size.alias("size"), G.rounded(scale, 6).alias("scale"), F.when(form == "both", "polygon+rle").otherwise(form).alias("format"), polygons.alias("polygons"), F.when(form.isin("polygon", "both"), "image_pixels").alias("coordinate_space"), F.when(form.isin("rle", "both"), F.struct(size.alias("size"), counts.alias("counts"), F.lit("F").alias("order"))).alias("rle"), F.when(form.isin("rle", "both"), F.format_string("uncompressed COCO RLE, column-major, at 'size' resolution (image is %dx%d)", F.col("image_width"), F.col("image_height"))).alias("rle_note"))
     extra = F.when(opt("keep_extra_fields"), F.col("extra"))
-    out = out.select(*FRAME, "id", "source_index", "label", "label_id", G.rounded(F.col("score"), 6).alias("score"), listed(F.col("box")).alias("bbox"), F.lit("xyxy").alias("bbox_format"), F.transform(G.to_xywh(F.col("box")), lambda x: G.rounded(x, 2)).alias("bbox_xywh"), G.rounded(area, 2).alias("area"), F.col("runs").isNotNull().alias("has_mask"), "track_id", F.when(F.col("runs").isNotNull() & (form != "none"), mask).alias("mask"), extra.alias("extra"), F.when(F.col("merged_from") > 1, F.col("merged_from")).alias("merged_from"))
+    out = out.select(*FRAME, "id", "source_index", "label", "label_id", G.rounded(F.col("score"), 6).alias("score"), listed(F.col("box")).alias("bbox"), F.lit("xyxy").alias("bbox_format"), F.transform(G.to_xywh(F.col("box")), lambda x: G.rounded(x, 2)).alias("bbox_xywh"), G.rounded(area, 2).alias("area"), F.col("runs").isNotNull().alias("has_mask"), F.col("track").alias("track_id"), F.when(F.col("runs").isNotNull() & (form != "none"), mask).alias("mask"), extra.alias("extra"), F.when(F.col("merged_from") > 1, F.col("merged_from")).alias("merged_from"))
     out = saved(out, "instances")
     how = left.groupBy(*FRAME).agg(F.first("by_mask").alias("_mask"))
     frames = _counts(heads, every, [("_left", left), ("_kept", kept), ("_merged", merged), ("kept", out)]).join(bad, FRAME, "left").join(how, FRAME, "left")
@@ -173,12 +173,9 @@ def layout_of(spec: Column, observed: Column) -> Column:
 
 
 def previous_instances(heads: DataFrame) -> DataFrame:
-    """frame_key, p_idx, p_track_id, p_keypoints from the previous response (or its instances, or bare keypoints) among the parameters."""
-    found = P.previous_of(F.col("params"))
-    rows = heads.where("p.smoothing").select(*FRAME, F.posexplode(found).alias("p_idx", "v"))
-    points = F.transform(F.try_variant_get("v", "$.points", "array<array<double>>"), lambda k: F.struct(k[0].alias("x"), k[1].alias("y"), k[2].alias("score")))
-    kps = F.coalesce(points, G.parse_flat(F.try_variant_get("v", "$.flat", "array<double>")))
-    return rows.select(*FRAME, "p_idx", F.try_variant_get("v", "$.track", "string").alias("p_track_id"), kps.alias("p_keypoints")).where("p_keypoints is not null")
+    """frame_key, p_idx, p_track_id, p_keypoints from the previous response (or its instances, or bare keypoints) that came with a frame."""
+    rows = heads.where("p.smoothing").select(*FRAME, F.posexplode_outer(P.previous_of(F.col("previous"))).alias("p_idx", "v"))
+    return rows.select(*FRAME, "p_idx", F.col("v.track").alias("p_track_id"), F.col("v.points").alias("p_keypoints")).where("p_keypoints is not null")
 
 
 def _smoothed(live: DataFrame, prev: DataFrame) -> DataFrame:
@@ -205,7 +202,7 @@ def _smoothed(live: DataFrame, prev: DataFrame) -> DataFrame:
 
 
 def pose(inst: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(instances, frames) of poses, like segmentation(); inst has keypoints instead of mask, heads may have params (JSON with previous)."""
+    """(instances, frames) of poses, like segmentation(); inst has keypoints instead of mask, heads has previous (VARIANT, may be null)."""
     observed = inst.groupBy(*FRAME).agg(F.max(F.size("keypoints")).alias("_k"))
     heads = heads.join(observed, FRAME, "left").withColumn("_k", F.when(F.col("_k") > 0, F.col("_k"))).withColumn("layout", layout_of(opt("layout"), F.col("_k")))
     heads = saved(heads, "heads")
@@ -240,7 +237,7 @@ def pose(inst: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = F.transform(k, lambda x, i: F.struct(i.alias("index"), F.coalesce(F.get(F.col("names"), i), F.concat(F.lit("kp_"), i.cast("string"))).alias("name"), G.rounded(x["x"], 2).alias("x"), G.rounded(x["y"], 2).alias("y"), G.rounded(x["score"], 6).alias("score"), (x["score"] > 0).alias("visible")))
     points = F.when(opt("drop_invisible_keypoints"), F.filter(points, lambda x: x["visible"])).otherwise(points)
     angles = F.map_filter(F.transform_values("triples", lambda _, t: G.rounded(G.angle(k, t[0], t[1], t[2]), 2)), lambda _, v: v.isNotNull())
-    out = out.select(*FRAME, "id", "source_index", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("person")).alias("label"), "label_id", G.rounded(F.col("score"), 6).alias("score"), listed(F.col("box")).alias("bbox"), F.lit("xyxy").alias("bbox_format"), F.transform(G.to_xywh(F.col("box")), lambda x: G.rounded(x, 2)).alias("bbox_xywh"), F.size(k).alias("num_keypoints"), F.size(seen).alias("num_visible_keypoints"), G.rounded(mean, 6).alias("mean_keypoint_score"), points.alias("keypoints"), F.flatten(F.transform(k, lambda x: F.array(*[G.rounded(x[c], 2) for c in ("x", "y", "score")]))).alias("keypoints_flat"), "track_id", F.when(opt("compute_angles"), angles).alias("angles"), F.when(opt("keep_extra_fields"), F.col("extra")).alias("extra"))
+    out = out.select(*FRAME, "id", "source_index", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("person")).alias("label"), "label_id", G.rounded(F.col("score"), 6).alias("score"), listed(F.col("box")).alias("bbox"), F.lit("xyxy").alias("bbox_format"), F.transform(G.to_xywh(F.col("box")), lambda x: G.rounded(x, 2)).alias("bbox_xywh"), F.size(k).alias("num_keypoints"), F.size(seen).alias("num_visible_keypoints"), G.rounded(mean, 6).alias("mean_keypoint_score"), points.alias("keypoints"), F.flatten(F.transform(k, lambda x: F.array(*[G.rounded(x[c], 2) for c in ("x", "y", "score")]))).alias("keypoints_flat"), F.col("track").alias("track_id"), F.when(opt("compute_angles"), angles).alias("angles"), F.when(opt("keep_extra_fields"), F.col("extra")).alias("extra"))
     out = saved(out, "instances")
     frames = _counts(heads, every, [("_left", left), ("_kept", kept), ("kept", out), ("smoothed", left.where("smoothed"))])
     has_prev = prev.select(*FRAME).distinct().withColumn("_prev", F.lit(True))
@@ -261,43 +258,54 @@ STATS = {"segmentation": ["input_count", "dropped_low_confidence", "dropped_by_l
 
 
 def responses(out: DataFrame, frames: DataFrame, task: str) -> DataFrame:
-    """frame_key, status_code, n_instances and the response as JSON; fields that pass through come beside it as JSON."""
-    columns = [F.try_parse_json(c).alias(c) if c == "extra" else F.col(c) for c in out.columns if c not in FRAME]
+    """frame_key, status_code, n_instances and the response as JSON, at whose end stand the payload's own fields that pass through."""
+    value = lambda c: F.try_parse_json(c).alias(c)
+    columns = [value(c) if c in ("extra", "track_id") else F.col(c) for c in out.columns if c not in FRAME]
     lists = out.withColumn("_i", F.struct("id", F.to_json(F.struct(*columns)).alias("j"))).groupBy(*FRAME).agg(F.array_sort(F.collect_list("_i")).alias("_list"))
     rows = frames.join(lists, FRAME, "left").withColumn("_list", F.coalesce("_list", F.array().cast("array<struct<id:int,j:string>>")))
     stats = F.to_json(F.struct(F.col("container").alias("source_container"), *STATS[task]))
-    head = F.to_json(F.struct(F.lit(task).alias("task"), "model_id", "frame_id", F.struct(F.col("image_width").alias("width"), F.col("image_height").alias("height")).alias("image"), *([F.struct(F.col("canvas.w").alias("width"), F.col("canvas.h").alias("height"), "canvas.scale").alias("mask_canvas")] if task == "segmentation" else [F.col("layout").alias("keypoint_layout")]), F.size("_list").alias("count"), "warnings", F.col("p").dropFields("wrong").alias("params")))
+    head = F.to_json(F.struct(F.lit(task).alias("task"), "model_id", value("frame_id"), F.struct(F.col("image_width").alias("width"), F.col("image_height").alias("height")).alias("image"), *([F.struct(F.col("canvas.w").alias("width"), F.col("canvas.h").alias("height"), "canvas.scale").alias("mask_canvas")] if task == "segmentation" else [F.col("layout").alias("keypoint_layout")]), F.size("_list").alias("count"), "warnings", F.col("p").dropFields("wrong").alias("params")))
     items = F.concat(F.lit("["), F.array_join(F.transform("_list", lambda x: x["j"]), ","), F.lit("]"))
-    text = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"stats":'), "_stats", F.lit(',"instances":'), "_items", F.lit(',"detections":'), "_items", F.lit("}"))
-    rows = rows.withColumns({"_head": head, "_stats": stats, "_items": items})
-    return rows.select(*FRAME, F.lit(200).alias("status_code"), F.size("_list").alias("n_instances"), text.alias("response"), "passed", F.lit(None).cast("string").alias("error"))
+    inside = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
+    # frame_id is among the head's fields
+    passed = F.to_json(F.map_filter(P.as_map(F.try_parse_json("passed")), lambda k, v: k != "frame_id"))
+    rows = rows.withColumns({"_head": head, "_stats": stats, "_items": items, "_passed": F.coalesce(passed, F.lit("{}"))})
+    last = F.when(F.col("_passed") == "{}", "").otherwise(F.concat(F.lit(","), inside("_passed")))
+    text = F.concat(F.lit("{"), inside("_head"), F.lit(',"stats":'), "_stats", F.lit(',"instances":'), "_items", F.lit(',"detections":'), "_items", last, F.lit("}"))
+    return rows.select(*FRAME, F.lit(200).alias("status_code"), F.size("_list").alias("n_instances"), text.alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+TASKS = {"segmentation": (SegmentationParams, segmentation), "pose": (PoseParams, pose)}
 
 
 def run(frames: DataFrame, task: str | None = None, model_id: str | None = None, params: str | None = None, **defaults) -> DataFrame:
     """A response (or an error with its status) a frame: frames has frame_key and payload (JSON).
 
     task, model_id: what the batch says, ahead of what a frame says. params: JSON of shared parameters, behind a frame's own.
-    defaults: parameters of the job. A bad frame never fails the others.
+    Columns batch_task, batch_model and batch_params of frames say the same a frame. defaults: parameters of the job. A bad
+    frame never fails the others.
     """
-    heads = saved(P.read_frames(frames, max_instances=MAX_INSTANCES).drop("payload"), "frames")
-    asked, model = F.lit(task).cast("string"), F.coalesce(F.lit(model_id).cast("string"), F.col("asked_model"))
-    heads = heads.withColumns({"task": P.route(F.coalesce(asked, F.col("declared_task")), F.col("hint"), model), "params": P.merged_params(params, F.col("params"))})
-    done, bad = [], []
+    says = lambda name, c: F.coalesce(F.lit(name).cast("string"), *[F.col(x) for x in (c,) if x in frames.columns])
+    heads = P.read_frames(frames, max_instances=MAX_INSTANCES).drop("payload")
+    route = P.route(F.coalesce(says(task, "batch_task"), F.col("declared_task")), F.col("hint"), F.coalesce(says(model_id, "batch_model"), F.col("asked_model")))
+    heads = saved(heads.withColumns({"task": route, "params": P.merged_params(says(params, "batch_params"), F.col("params"))}), "frames")
     lost = (F.col("status_code") != 200) | F.col("task").isNull()
     error = F.coalesce("error", F.lit("could not determine the task"))
-    bad.append(heads.where(lost).select(*FRAME, F.when(F.col("status_code") == 200, 400).otherwise(F.col("status_code")).alias("status_code"), error.alias("error")))
-    names = {"segmentation": SegmentationParams, "pose": PoseParams}
-    for name, kind in names.items():
-        own = heads.where(~F.coalesce(lost, F.lit(False)) & (F.col("task") == name))
+    bad = [heads.where(lost).select(*FRAME, F.when(F.col("status_code") == 200, 400).otherwise(F.col("status_code")).alias("status_code"), error.alias("error"))]
+    done = []
+    for name in [r.task for r in heads.where(~lost).select("task").distinct().collect()]:  # two at most
+        kind, plan = TASKS[name]
         base = kind(**{k: v for k, v in defaults.items() if k in kind.__dataclass_fields__})
-        own = own.withColumn("p", frame_params(F.col("params"), base))
-        bad.append(own.where(F.size("p.wrong") > 0).select(*FRAME, F.lit(422).alias("status_code"), F.concat(F.lit("invalid parameters: "), F.array_join("p.wrong", ", ")).alias("error")))
-        own = saved(own.where(F.size("p.wrong") == 0), "own")
-        inst = P.read_instances(own, bbox_format=F.col("p.bbox_format"))
-        inst, own = I.place(inst, own.select(*FRAME, "image_width", "image_height", "p", "params", "container", "model_id", "frame_id", "passed"), FRAME, opt("coordinate_space"), opt("bbox_format"))
-        inst, own = saved(inst, "placed"), saved(own, "headers")
-        done.append(responses(*(segmentation if name == "segmentation" else pose)(inst, own), name))
-    failed = reduce(DataFrame.union, bad).select(*FRAME, "status_code", F.lit(0).alias("n_instances"), F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("passed"), "error")
+        own = saved(frame_params("params", base, heads.where(~lost & (F.col("task") == name))), "own")
+        bad.append(own.where(F.size("p.wrong") > 0).select(*FRAME, F.lit(422).alias("status_code"), F.concat(F.lit("invalid parameters: "), F.to_json("p.wrong")).alias("error")))
+        own = own.where(F.size("p.wrong") == 0)
+        inst = saved(P.read_instances(own, bbox_format=F.col("p.bbox_format")), "read")
+        odd = inst.where("bad").groupBy(*FRAME).agg(F.min("source_index").alias("_at"))
+        bad.append(odd.select(*FRAME, F.lit(500).alias("status_code"), F.concat(F.lit("instance "), F.col("_at").cast("string"), F.lit(": a coordinate is no number")).alias("error")))
+        inst, own = inst.drop("bad").join(odd, FRAME, "left_anti"), own.join(odd, FRAME, "left_anti")
+        inst, own = I.place(inst, own.select(*FRAME, "image_width", "image_height", "p", "previous", "container", "model_id", "frame_id", "passed"), FRAME, opt("coordinate_space"), opt("bbox_format"))
+        done.append(responses(*plan(saved(inst, "placed"), saved(own, "headers")), name))
+    failed = reduce(DataFrame.union, bad).select(*FRAME, "status_code", F.lit(0).alias("n_instances"), F.lit(None).cast("string").alias("response"), "error")
     return reduce(DataFrame.unionByName, [*done, failed])
 
 
@@ -306,14 +314,13 @@ def run_batches(batches: DataFrame, batch: str = "batch_key", body: str = "body"
 
     An envelope's task and model go before its items', its params behind theirs; over MAX_ITEMS items are refused.
     """
-    found = batches.select(batch, P.envelope_of(F.col(body)).alias("_e"))
-    get = lambda n, kind: F.try_variant_get("_e", f"$.{n}", kind)
-    found = found.select(batch, get("items", "array<string>").alias("items"))
+    found = P.read_envelopes(batches, body).select(batch, "items", F.col("task").alias("batch_task"), F.col("model").alias("batch_model"), F.col("shared").alias("batch_params"))
     refused = F.when(F.col("items").isNull(), 400).when(F.size("items") > MAX_ITEMS, 413).otherwise(200)
-    found = found.withColumn("status_code", refused)
-    rows = found.where("status_code = 200").select(batch, F.posexplode("items").alias("index", "payload"))
+    found = saved(found.withColumn("status_code", refused), "batches")
+    said = ["batch_task", "batch_model", "batch_params"]
+    rows = found.where("status_code = 200").select(batch, *said, F.posexplode("items").alias("index", "payload"))
     key = F.concat_ws("/", F.col(batch).cast("string"), F.col("index").cast("string"))
     rows = rows.withColumn("frame_key", key)
-    items = rows.select("frame_key", batch, "index").join(run(rows.select("frame_key", "payload")), "frame_key").drop("frame_key")
+    items = rows.select("frame_key", batch, "index").join(run(rows.select("frame_key", "payload", *said)), "frame_key").drop("frame_key")
     counts = items.groupBy(batch).agg(F.count("*").alias("count"), F.count_if(F.col("status_code") != 200).alias("failed"))
     return items, found.select(batch, "status_code").join(counts, batch, "left").fillna(0, ["count", "failed"])

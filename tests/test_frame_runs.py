@@ -71,7 +71,7 @@ def test_segmentation(got):
 def test_warnings_and_sizes(got):
     r = got["broken"][1]
     assert r["image"] == {"width": 10, "height": 10} and r["count"] == 2
-    assert r["warnings"] == ["image size not supplied; inferred 10x10", "instance 0: mask decode failed", "2 instance(s) had a mask field that could not be decoded"]
+    assert r["warnings"] == ["image size not supplied; inferred 10x10 from prediction extents. Send image.width / image.height for exact mask rasterisation.", "instance 0: mask decode failed", "2 instance(s) had a mask field that could not be decoded"]
     r = got["scaled"][1]
     assert r["image"] == {"width": 200, "height": 100} and r["instances"][0]["bbox"] == [20, 20, 100, 60] and "scaled" in r["warnings"][0]
     assert "mixed bbox formats" in got["mixed"][1]["warnings"][0] and got["mixed"][1]["instances"][0]["bbox"] == [10, 10, 15, 15]
@@ -79,7 +79,7 @@ def test_warnings_and_sizes(got):
 
 def test_poses(got):
     r = got["pose"][1]
-    assert [i["source_index"] for i in r["instances"]] == [0, 2] and "skeleton" not in r["keypoint_layout"] and r["instances"][1]["track_id"] == "4"
+    assert [i["source_index"] for i in r["instances"]] == [0, 2] and "skeleton" not in r["keypoint_layout"] and r["instances"][1]["track_id"] == 4
     assert len(r["instances"][0]["keypoints"]) == 17 and len(r["instances"][0]["keypoints_flat"]) == 51 and r["instances"][0]["keypoints"][0]["name"] == "nose" and "left_elbow" in r["instances"][0]["angles"]
     r = got["layout"][1]
     assert [k["name"] for k in r["instances"][0]["keypoints"]] == ["p", "q", "kp_2"] and "model emitted 3 keypoints" in r["warnings"][0]
@@ -114,6 +114,39 @@ def test_encodings_agree():
     assert at([[[1, 1], [9, 1], [9, 9], [1, 9]]]) == at([1, 1, 9, 1, 9, 9, 1, 9]) == at([[{"x": 1, "y": 1}, {"x": 9, "y": 1}, {"x": 9, "y": 9}, {"x": 1, "y": 9}]])
 
 
-def test_sizes():
-    assert P.size_of({"image": {"width": 3, "height": 4}}) == P.size_of({"orig_shape": [4, 3]}) == P.size_of({"img_width": 3, "frame_height": 4}) == P.size_of({"shape": [4, 3, 3]}) == (3, 4)
-    assert P.size_of({"image": {"width": 0, "height": 4}}) is None and P.size_of([1, 2]) is None
+SIZES = [({"image": {"width": 3, "height": 4}}, (3, 4)), ({"orig_shape": [4, 3]}, (3, 4)), ({"img_width": "3", "frame_height": 4}, (3, 4)), ({"shape": [4, 3, 3]}, (3, 4)), ({"image": {"width": 0, "height": 4}}, None), ({"image": {"W": 3.9, "H": 4}}, (3, 4)), ({"image": {"width": 0, "height": 4}, "meta": {"w": 5, "h": 6}}, (5, 6)), ({"image": {"width": 10**12, "height": 5}}, 422), ({"image": {"width": -3, "height": 5}}, 422), ({"image": {"width": "x", "height": 5}}, None)]
+
+
+def test_sizes(spark):
+    df = spark.createDataFrame([(i, json.dumps({**v, "predictions": []})) for i, (v, _) in enumerate(SIZES)], "frame_key long, payload string")
+    got = {r.frame_key: r for r in P.read_frames(df).collect()}
+    assert [got[i].status_code if got[i].error else got[i].image_width and (got[i].image_width, got[i].image_height) for i in range(len(SIZES))] == [w for _, w in SIZES]
+
+
+ODD = {
+    "nan": '{"predictions":[{"score":NaN}]}', "twice": '{"predictions":[],"predictions":[]}', "behind": '{"predictions":[]} x', "huge": '{"image":{"width":1000000000000,"height":5},"predictions":[]}',
+    "corner": '{"predictions":[{"bbox":["a",2,5,8]},{"bbox":[1,2,5,8]}]}', "hole": '{"predictions":[{"bbox":[null,2,5,8]}]}', "fine": '{"frame_id":42,"timestamp":"2026-08-13T10:00:00Z","camera_id":null,"predictions":[{"bbox":[1,2,50,80],"track_id":"7","label":true,"class_id":2.7}]}',
+    "params": '{"predictions":[],"params":{"confidence_threshold":"x","max_detections":2.5,"nms":"oks","fill_holes":"maybe","denied_labels":[1],"min_area":-1,"unknown":1}}', "loose": '{"predictions":[],"params":{"confidence_threshold":"0.5","fill_holes":"true","min_area":null}}',
+}
+
+
+def test_odd_frames_fail_alone(spark):
+    df = spark.createDataFrame(list(ODD.items()), "frame_key string, payload string")
+    got = {r.frame_key: r for r in R.run(df, task="segmentation").collect()}
+    assert {k: r.status_code for k, r in got.items()} == {"nan": 400, "twice": 400, "behind": 400, "huge": 422, "corner": 500, "hole": 500, "fine": 200, "params": 422, "loose": 200}
+    assert got["corner"].error == "instance 0: a coordinate is no number"
+    fine = json.loads(got["fine"].response)
+    assert (fine["frame_id"], fine["timestamp"]) == (42, "2026-08-13T10:00:00Z") and fine["instances"][0]["track_id"] == "7" and (fine["instances"][0]["label"], fine["instances"][0]["label_id"]) == ("True", 2)
+    wrong = json.loads(got["params"].error.removeprefix("invalid parameters: "))
+    assert {w["param"]: w["received"] for w in wrong} == {"confidence_threshold": "'x'", "max_detections": "2.5", "nms": "'oks'", "fill_holes": "'maybe'", "denied_labels": "[1]", "min_area": "-1"}
+    assert {w["param"]: w["message"] for w in wrong}["nms"] == "Input should be 'mask', 'box' or 'none'"
+    loose = json.loads(got["loose"].response)["params"]
+    assert (loose["confidence_threshold"], loose["fill_holes"], loose["min_area"]) == (0.5, True, 0)
+
+
+def test_smoothing_forbids_unknown_keys(spark):
+    rows = [("more", {"enabled": True, "beta": 1}), ("jump", {"max_jump": 0}), ("text", "on"), ("fine", {"max_jump": 3})]
+    df = spark.createDataFrame([(k, json.dumps({"poses": [], "params": {"smoothing": v}})) for k, v in rows], "frame_key string, payload string")
+    got = {r.frame_key: (r.status_code, r.error) for r in R.run(df, task="pose").collect()}
+    assert {k: v[0] for k, v in got.items()} == {"more": 422, "jump": 422, "text": 422, "fine": 200}
+    assert json.loads(got["more"][1].removeprefix("invalid parameters: ")) == [{"param": "smoothing.beta", "message": "Extra inputs are not permitted", "received": "1"}]

@@ -30,6 +30,9 @@ SHAPES = [
     ({"results": {"nothing": 1}}, 200, 0),
     ({"Boxes": [[1, 2, 3, 4], [1, 2, 3, 4]], "confs": [0.5]}, 200, 2),
     ({"predictions": []}, 200, 0),
+    ({"data": {"instances": [], "predictions": [ONE]}, "items": [ONE, ONE, ONE]}, 200, 3),
+    ({"data": {"output": {"items": [ONE]}, "items": []}}, 200, 1),
+    ({"payload": {"z": [ONE], "a": [ONE, ONE]}, "params": {}}, 200, 1),
     ([], 200, 0),
 ]
 
@@ -44,7 +47,7 @@ def test_containers(spark):
 
 
 def test_names_in_any_case(spark):
-    items = [{"Score": 0.1, "Bbox": [1, 2, 3, 4], "CLASS_NAME": "a", "Track_ID": 7}, {"boundingbox": {"x1": 1, "y1": 2, "x2": 3, "y2": 4}, "sCoRe": 0.25}]
+    items = [{"Score": 0.1, "Bbox": [1, 2, 3, 4], "CLASS_NAME": "a", "Track_ID": 7}, {"BBOX": {"x1": 1, "y1": 2, "x2": 3, "y2": 4}, "sCoRe": 0.25}]
     a, b = P.read_instances(read(spark, [items]), bbox_format="xyxy").orderBy("source_index").collect()
     assert (a.score, tuple(a.box), a.label, a.track_id) == (0.1, (1, 2, 3, 4), "a", "7")
     assert (b.score, tuple(b.box)) == (0.25, (1, 2, 3, 4))
