@@ -9,9 +9,11 @@ from .config import PoseParams, SegmentationParams, params_table
 from .functions import geometry as G
 from .operators import instances as I
 from .operators import masks as M
+from .operators import regions as V
 from .plans import frames as R
 from .plans import pipelines
 from .sources import payload as P
+from .streaming import chain as K
 from .streaming import smoothing as S
 
 QUERIES, SQL = {}, {}
@@ -164,6 +166,37 @@ def q_e2e_segmentation(spark, d):
     return pipelines.postprocess_boxes(det_boxes(spark, d), ["frame"], SegmentationParams())[0]
 
 
+# ------------------------------------------------------------------------------------- frames without bound
+
+#: Orders lie on a plane 250 wide; their boxes reach into the orders beside them where the step is smaller than a box.
+PLANE = 250
+
+
+def on_plane(spark, d, step: float) -> DataFrame:
+    """The boxes of all orders in one frame."""
+    b = F.col("box")
+    dx, dy = F.col("frame") % PLANE * step, F.floor(F.col("frame") / PLANE) * step
+    rows = det_boxes(spark, d).withColumns({"box": G.box(b["x1"] + dx, b["y1"] + dy, b["x2"] + dx, b["y2"] + dy), "idx": F.col("frame") * 64 + F.col("idx")})
+    return rows.withColumns({"order": F.col("frame"), "frame": F.lit(0)})
+
+
+@query(_nms_sql(""))
+def q_nms_region(spark, d):
+    """One frame of the whole table; boxes of different orders lie apart, so the result is that of each order alone."""
+    rows = on_plane(spark, d, 200).withColumn("n", F.col("idx") - F.col("order") * 64)
+    pairs = V.box_pairs(rows, ["frame"], 0.5).select("frame", F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+    return V.suppress_rounds(rows, ["frame"], pairs).select(F.col("order").alias("frame"), F.col("n").cast("int").alias("idx"), "score")
+
+
+@query(f"""WITH {BOXES}, t AS (SELECT frame * 64 + idx AS idx, frame % {PLANE} AS tx, frame // {PLANE} AS ty, x1 + frame % {PLANE} * 100 AS x1, y1 + frame // {PLANE} * 100 AS y1, x2 + frame % {PLANE} * 100 AS x2, y2 + frame // {PLANE} * 100 AS y2 FROM b),
+n AS (SELECT t.*, tx + dx AS nx, ty + dy AS ny FROM t, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+o AS (SELECT p.idx AS i, q.idx AS j, {_iou('p.', 'q.')} AS iou FROM n p JOIN t q ON p.nx = q.tx AND p.ny = q.ty AND p.idx < q.idx)
+SELECT i, j, round(iou, 6) AS iou FROM o WHERE iou > 0.1""")
+def q_region_box_pairs(spark, d):
+    """Overlapping boxes of one frame, within orders and across."""
+    return V.box_pairs(on_plane(spark, d, 100), ["frame"], 0.1).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round("iou", 6).alias("iou"))
+
+
 # --------------------------------------------------------------------------------------------------------- poses
 
 
@@ -259,6 +292,27 @@ def q_track_match(spark, d):
     return S.match_previous(cur, prev, ["frame"], sim, 2.0).select("frame", "idx", "p_idx")
 
 
+_CHAIN_OKS = f"list_filter(list_transform(range(1, 18), lambda t: CASE WHEN c.kps[t].score > 0 AND q.kps[t].score > 0 THEN exp(-((c.kps[t].x-q.kps[t].x)*(c.kps[t].x-q.kps[t].x) + (c.kps[t].y-q.kps[t].y)*(c.kps[t].y-q.kps[t].y)) / (pow(2*({_S})[t]::DOUBLE, 2)*greatest(c.area,1)*2)) END), lambda e: e IS NOT NULL)"
+_CHAIN_BEST = f"list_max(list_transform(r.ans, lambda q, i: {{'o': coalesce(list_avg({_CHAIN_OKS}), 0), 't': (q.track IS NOT NULL)::INT, 'i': -i, 'k': q.kps}}))"
+_CHAIN_SAME = "list_filter(r.ans, lambda q: q.track = c.track)"
+
+
+@query(f"""WITH RECURSIVE {POSES}, w AS {_AREA}, v AS (SELECT *, CASE WHEN (frame + idx) % 4 > 0 THEN idx::VARCHAR END AS track FROM w WHERE frame % 11 <> 3 AND (frame * 7 + idx) % 5 > 0),
+f AS (SELECT frame % 7 AS stream, frame, row_number() OVER (PARTITION BY frame % 7 ORDER BY frame) AS n, list({{'idx': idx, 'track': track, 'area': area, 'kps': kps, 'm': false}} ORDER BY idx) AS cur FROM v GROUP BY frame),
+r AS (SELECT stream, frame, n, cur AS ans FROM f WHERE n = 1 UNION ALL
+ SELECT f.stream, f.frame, f.n, list_transform(list_transform(f.cur, lambda c: {{'c': c, 'k': CASE WHEN len({_CHAIN_SAME}) > 0 THEN {_CHAIN_SAME}[-1].kps WHEN {_CHAIN_BEST}.o >= 0.5 THEN {_CHAIN_BEST}.k END}}),
+  lambda z: {{'idx': z.c.idx, 'track': z.c.track, 'area': z.c.area, 'kps': CASE WHEN z.k IS NULL THEN z.c.kps ELSE list_transform(z.c.kps, lambda p, i: CASE WHEN p.score > 0 AND z.k[i].score > 0 THEN {{'x': 0.6::DOUBLE * p.x + 0.4::DOUBLE * z.k[i].x, 'y': 0.6::DOUBLE * p.y + 0.4::DOUBLE * z.k[i].y, 'score': p.score}} ELSE p END) END, 'm': z.k IS NOT NULL}})
+ FROM r JOIN f ON f.stream = r.stream AND f.n = r.n + 1)
+SELECT stream, frame, e.idx AS idx, e.m AS smoothed, round(list_sum(list_transform(e.kps, lambda k: k.x)), 4) AS sx, round(e.kps[1].y, 4) AS y0 FROM (SELECT stream, frame, unnest(ans) AS e FROM r)""")
+def q_pose_chain(spark, d):
+    """Seven streams of poses with missing frames, instances and track ids, each frame blended with the last answered one, in time slices."""
+    n, i = F.col("frame"), F.col("idx")
+    rows = poses(spark, d).where((n % 11 != 3) & ((n * 7 + i) % 5 > 0)).withColumns({"stream": n % 7, "track_id": F.when((n + i) % 4 > 0, i.cast("string")), "area": G.pose_area(F.col("box"), F.col("keypoints"))})
+    cuts = [float(c) for c in rows.agg(F.percentile_approx("frame", [0.25, 0.5, 0.75])).head()[0]]
+    k = F.col("keypoints")
+    return K.smooth_poses(rows, "stream", "frame", sorted(set(cuts))).select("stream", n.cast("bigint").alias("frame"), i.cast("int").alias("idx"), "smoothed", F.round(F.aggregate(k, F.lit(0.0), lambda a, p: a + p["x"]), 4).alias("sx"), F.round(k[0]["y"], 4).alias("y0"))
+
+
 # ------------------------------------------------------------------------------------------- payloads and routing
 
 
