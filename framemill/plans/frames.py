@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_INSTANCES, MAX_ITEMS, PoseParams, SegmentationParams, frame_params
 from ..functions import geometry as G
+from ..operators import encodings as E
 from ..operators import instances as I
 from ..operators import masks as M
 from ..sources import payload as P
@@ -90,7 +91,7 @@ def segmentation(inst: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFram
     scale = F.col("canvas.scale")
     rows = inst.drop("image_width", "image_height").join(heads.select(*FRAME, "image_width", "image_height", "p", "canvas"), FRAME)
     asked = rows.withColumn("reason", _first(*_label_steps()))
-    live = asked.where("reason is null").withColumn("d", M.decoded()("mask", "canvas.w", "canvas.h", "image_width", "image_height", opt("mask_binarize_threshold")))
+    live = E.with_decoded(asked.where("reason is null"), "mask", "d", F.col("canvas.w"), F.col("canvas.h"), F.col("image_width"), F.col("image_height"), opt("mask_binarize_threshold"))
     runs = F.when((opt("min_component_area") > 0) | opt("fill_holes"), M.cleaned()("d.runs", "canvas.w", "canvas.h", opt("min_component_area") * scale * scale, opt("fill_holes"))).otherwise(F.col("d.runs"))
     live = live.withColumn("runs", runs)
     pixels = G.run_area(F.col("runs")).cast("double")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .config import PoseParams, SegmentationParams, params_table
 from .functions import geometry as G
+from .operators import encodings as E
 from .operators import instances as I
 from .operators import masks as M
 from .operators import regions as V
+from .operators import runs as N
 from .plans import frames as R
 from .plans import pipelines
 from .sources import payload as P
@@ -436,7 +438,7 @@ def holed(spark, d) -> DataFrame:
 def q_mask_decode(spark, d):
     """Every encoding of a mask decodes to the same pixels."""
     side, half = F.lit(64), F.lit(0.5)
-    rows = holed(spark, d).withColumn("m", M.decoded()("mask", side, side, side, side, half)).withColumn("box", G.run_box(F.col("m.runs")))
+    rows = E.with_decoded(holed(spark, d), "mask", "m", side, side, side, side, half).withColumn("box", G.run_box(F.col("m.runs")))
     return _flat(rows.withColumn("area", G.run_area(F.col("m.runs"))), "idx", "area")
 
 
@@ -444,7 +446,7 @@ def q_mask_decode(spark, d):
 def q_mask_holes(spark, d):
     """Rings with a hole: one component, two runs in a middle row, no hole after filling."""
     side, half = F.lit(64), F.lit(0.5)
-    rows = holed(spark, d).where("idx % 5 = 0 and w >= 5 and h > 4").withColumn("m", M.decoded()("mask", side, side, side, side, half)).withColumn("box", G.run_box(F.col("m.runs")))
+    rows = E.with_decoded(holed(spark, d).where("idx % 5 = 0 and w >= 5 and h > 4"), "mask", "m", side, side, side, side, half).withColumn("box", G.run_box(F.col("m.runs")))
     on = lambda f: f(F.col("m.runs"), side, side)
     middle = F.size(F.filter("m.runs", lambda r: r["y"] == (F.col("box.y1") + 1).cast("int")))
     return rows.select("idx", on(M.component_count()).alias("components"), G.run_area(on(M.fill_holes())).alias("filled"), G.run_area(on(M.drop_small(60))).alias("large"), middle.alias("middle"))
@@ -507,3 +509,70 @@ def q_batches(spark, d):
     n = F.col("c_custkey") % 4
     body = F.when(n == 0, f'{{"task":"segmentation","items":[{seg},{seg},{{"nothing":"useful"}}]}}').when(n == 1, f'[{{"task":"segmentation","predictions":[]}},{kps},{{"predictions":[]}}]').when(n == 2, f'{{"model_id":"discovered-vc-yolov8-seg","params":{{"confidence_threshold":7}},"frames":[{seg},{seg}]}}').otherwise(f'{{"items":[],"batch":{own}}}')
     return R.run_batches(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("batch_key"), body.alias("body")))[1].select("batch_key", F.col("status_code").cast("int").alias("status_code"), "count", "failed")
+
+
+# ------------------------------------------------------------------------------------------------ runs without bitmaps
+
+_CUT = lambda v, n, k: f"((2 * ({v}) * {k} + {n} - 1) // {2 * n})"
+_TO = "(SELECT unnest([{'tw': 150, 'th': 97}, {'tw': 23, 'th': 41}, {'tw': 64, 'th': 1}]) AS t)"
+
+
+@query(f"""WITH {RECTS}, m AS (SELECT idx, t.tw AS tw, {_CUT('x', 64, 't.tw')} AS a, {_CUT('x + w', 64, 't.tw')} AS b, {_CUT('y', 64, 't.th')} AS c, {_CUT('y + h', 64, 't.th')} AS e FROM r, {_TO})
+SELECT idx, tw::INT AS to_width, ((b - a) * (e - c))::BIGINT AS area, CASE WHEN b > a THEN e - c ELSE 0 END::INT AS n_runs FROM m""")
+def q_mask_resample(spark, d):
+    """Runs moved to larger, smaller and one-row canvases in column expressions."""
+    masks = M.fill(rects(spark, d), ["idx"], 64, 64)
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in [(150, 97), (23, 41), (64, 1)]]))
+    out = masks.withColumn("to", each).withColumn("out", N.resampled(F.col("runs"), F.lit(64), F.lit(64), F.col("to.w"), F.col("to.h")))
+    return out.select("idx", F.col("to.w").alias("to_width"), F.aggregate("out", F.lit(0).cast("bigint"), lambda n, r: n + r["x1"] - r["x0"]).alias("area"), F.size("out").alias("n_runs"))
+
+
+@query(f"WITH {RECTS} SELECT idx, (w * h * 4096)::BIGINT AS area, (2 * 64 * w + 1)::INT AS n_counts, (64 * x * 4096 + 64 * y)::BIGINT AS lead, (64 * h)::INT AS n_runs, (64 * x)::INT AS x0, (64 * y + 64 * h - 1)::INT AS last FROM r")
+def q_mask_turn(spark, d):
+    """Rectangles on a canvas of 4096 x 4096 to column-major counts and back to rows, in memory of their runs."""
+    p = rects(spark, d).select("idx", F.col("points")[0].alias("a"), F.col("points")[2].alias("b"))
+    runs = F.transform(F.sequence((F.col("a.y") * 64).cast("int"), (F.col("b.y") * 64 - 1).cast("int")), lambda y: F.struct(y.alias("y"), (F.col("a.x") * 64).cast("int").alias("x0"), (F.col("b.x") * 64).cast("int").alias("x1")))
+    side = F.lit(4096)
+    rows = p.select("idx", runs.alias("runs")).withColumn("counts", M.encode_counts()(F.col("runs"), side, side)).withColumn("mask", F.to_json(F.struct(F.array(side, side).alias("size"), "counts")))
+    back = E.with_decoded(rows, "mask", "d", side, side, side, side, F.lit(0.5)).withColumn("r", F.col("d.runs"))
+    return back.select("idx", G.run_area(F.col("r")).cast("bigint").alias("area"), F.size("counts").alias("n_counts"), F.get("counts", F.lit(0)).alias("lead"), F.size("r").alias("n_runs"), F.get("r", F.lit(0))["x0"].alias("x0"), F.try_element_at("r", F.lit(-1))["y"].alias("last"))
+
+
+@query(f"WITH {RECTS} SELECT idx, CASE WHEN idx % 7 > 0 THEN (w * h)::BIGINT END AS area, CASE WHEN idx % 7 > 0 THEN x::DOUBLE END AS x1, CASE WHEN idx % 7 > 0 THEN (y + h)::DOUBLE END AS y2, idx % 7 = 0 AS unknown FROM r")
+def q_mask_images(spark, d):
+    """PNG images of five kinds (grey, one bit, palette, colour with alpha, sixteen bits) under three names; a cut one says nothing."""
+    masks = M.fill(rects(spark, d), ["idx"], 64, 64).withColumn("image", M.as_png()(F.col("runs"), F.lit(64), F.lit(64), F.col("idx") % 5))
+    text = F.base64(F.when(F.col("idx") % 7 > 0, F.col("image")).otherwise(F.substring("image", 1, 60)))
+    text = F.regexp_replace(text, "[\\r\\n]", "")
+    form = F.col("idx") % 3
+    mask = F.when(form == 0, F.to_json(F.struct(text.alias("png")))).when(form == 1, F.to_json(F.struct(F.concat(F.lit("data:image/png;base64,"), text).alias("base64")))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    side = F.lit(64)
+    out = E.with_decoded(masks.select("idx", mask.alias("mask")), "mask", "d", side, side, side, side, F.lit(0.5)).withColumn("box", G.run_box(F.col("d.runs")))
+    return out.select("idx", F.when(F.col("d.runs").isNotNull(), G.run_area(F.col("d.runs")).cast("bigint")).alias("area"), F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"), F.col("d.unknown").alias("unknown"))
+
+
+def in_tiles(runs: DataFrame, side: int) -> DataFrame:
+    """Runs (y, x0, x1) cut at the borders of tiles."""
+    cells = F.sequence(F.floor(F.col("x0") / side), F.floor((F.col("x1") - 1) / side))
+    rest = [c for c in runs.columns if c not in ("y", "x0", "x1")]
+    return runs.withColumn("t", F.explode(cells)).select(*rest, "y", F.greatest("x0", (F.col("t") * side).cast("int")).alias("x0"), F.least("x1", (F.col("t") * side + side).cast("int")).alias("x1"))
+
+
+@query(f"""WITH RECURSIVE {RECTS}, e AS (SELECT a.frame, a.idx AS i, b.idx AS j FROM r a JOIN r b ON a.frame = b.frame AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h),
+c AS (SELECT frame, i, j FROM e UNION SELECT c.frame, c.i, e.j FROM c JOIN e ON c.frame = e.frame AND c.j = e.i),
+g AS (SELECT frame, i, min(j) AS root FROM c GROUP BY frame, i),
+p AS (SELECT DISTINCT r.frame, g.root, (y + dy) * 64 + x + dx AS px FROM r JOIN g ON r.frame = g.frame AND r.idx = g.i, unnest(range(h)) AS a(dy), unnest(range(w)) AS b(dx))
+SELECT frame, (min(px) // 64)::INT AS cy, (min(px) % 64)::INT AS cx, count(*)::BIGINT AS area FROM p GROUP BY frame, root""")
+def q_mask_parts(spark, d):
+    """Components of the union of a frame's masks, whose runs come cut by tiles of 8 columns."""
+    runs = N.exploded(M.fill(rects(spark, d), ["frame", "idx"], 64, 64), ["frame"])
+    parts = N.components(in_tiles(N.united(runs, ["frame"]), 8), ["frame"])
+    return parts.groupBy("frame", "cy", "cx").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+
+
+@query(f"WITH {RECTS} SELECT idx, (w * h)::BIGINT AS area, h::BIGINT AS n_runs FROM r")
+def q_mask_closed(spark, d):
+    """Rectangles with holes, cut by tiles of 8 columns, are whole again once holes are filled."""
+    runs = N.exploded(E.with_decoded(holed(spark, d), "mask", "m", F.lit(64), F.lit(64), F.lit(64), F.lit(64), F.lit(0.5)).select("idx", "m.runs"), ["idx"])
+    whole = N.without_holes(in_tiles(runs, 8), ["idx"], F.lit(64), F.lit(64))
+    return whole.groupBy("idx").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"), F.count("*").alias("n_runs"))

@@ -2,10 +2,8 @@
 
 import json
 
-import numpy as np
 import pytest
 
-from framemill.operators import masks as M
 from framemill.plans import frames as R
 from framemill.sources import payload as P
 
@@ -98,22 +96,6 @@ def test_batches(spark):
     assert sorted((r["index"], r.status_code, r.n_instances) for r in items.collect()) == [(0, 200, 0), (1, 422, 0)]
 
 
-def test_encodings_agree():
-    rng = np.random.default_rng(3)
-    m = rng.random((12, 17)) < 0.6
-    runs = M.to_runs(m)
-    flat = m.T.ravel()
-    cuts = np.flatnonzero(np.diff(np.concatenate(([0], flat.astype(int))))).tolist()
-    counts = np.diff([0, *cuts, flat.size]).tolist()
-    at = lambda v: M.decode(v, (17, 12), (17, 12), 0.5)
-    for v in ({"size": [12, 17], "counts": counts}, {"size": [12, 17], "counts": M.leb_encode(counts)}, m.astype(float).tolist(), (m * 200).tolist(), m.astype(int).ravel().tolist(), {"mask": m.astype(int).tolist()}):
-        assert at(v) == runs
-    assert M.leb_encode([7, 1, 900]) == "71TL" or M.leb_decode(M.leb_encode([7, 1, 900])) == [7, 1, 900]
-    assert at(None) is None and at({}) is None and at([]) is None
-    assert sum(r["x1"] - r["x0"] for r in at([[1, 1, 9, 1, 9, 9, 1, 9], [3, 3, 5, 3, 5, 5, 3, 5]])) == 60
-    assert at([[[1, 1], [9, 1], [9, 9], [1, 9]]]) == at([1, 1, 9, 1, 9, 9, 1, 9]) == at([[{"x": 1, "y": 1}, {"x": 9, "y": 1}, {"x": 9, "y": 9}, {"x": 1, "y": 9}]])
-
-
 SIZES = [({"image": {"width": 3, "height": 4}}, (3, 4)), ({"orig_shape": [4, 3]}, (3, 4)), ({"img_width": "3", "frame_height": 4}, (3, 4)), ({"shape": [4, 3, 3]}, (3, 4)), ({"image": {"width": 0, "height": 4}}, None), ({"image": {"W": 3.9, "H": 4}}, (3, 4)), ({"image": {"width": 0, "height": 4}, "meta": {"w": 5, "h": 6}}, (5, 6)), ({"image": {"width": 10**12, "height": 5}}, 422), ({"image": {"width": -3, "height": 5}}, 422), ({"image": {"width": "x", "height": 5}}, None)]
 
 
