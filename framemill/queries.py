@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from .operators import runs as N
 from .plans import frames as R
 from .plans import pipelines
 from .sources import payload as P
+from .sources import sink
 from .streaming import chain as K
 from .streaming import smoothing as S
+from .tables import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -576,3 +580,17 @@ def q_mask_closed(spark, d):
     runs = N.exploded(E.with_decoded(holed(spark, d), "mask", "m", F.lit(64), F.lit(64), F.lit(64), F.lit(64), F.lit(0.5)).select("idx", "m.runs"), ["idx"])
     whole = N.without_holes(in_tiles(runs, 8), ["idx"], F.lit(64), F.lit(64))
     return whole.groupBy("idx").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"), F.count("*").alias("n_runs"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS frame_key, CASE WHEN p_partkey % 3 = 0 THEN '2' ELSE '1' END AS batch, CASE WHEN p_partkey % 3 <> 0 AND p_size % 5 = 0 THEN 422 ELSE 200 END::INT AS status_code,
+CASE WHEN p_partkey % 3 = 0 OR p_size % 5 > 0 THEN p_name END AS response, CASE WHEN p_partkey % 3 <> 0 AND p_size % 5 = 0 THEN p_type END AS error FROM part""")
+def q_sink(spark, d):
+    """Two batches of responses, the first written twice, read back from the shared folder: a frame once, as its last batch has it."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    bad = F.col("p_size") % 5 == 0
+    made = lambda rows, bad: rows.select(F.col("p_partkey").cast("string").alias("frame_key"), F.when(bad, 422).otherwise(200).alias("status_code"), F.lit(1).alias("n_instances"), F.when(~bad, F.col("p_name")).alias("response"), F.when(bad, F.col("p_type")).alias("error"))
+    folder = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sink.write(made(p, bad), folder, "1")
+    sink.write(made(p.where("p_partkey % 3 = 0"), F.lit(False)), folder, "2")
+    return sink.read(spark, folder).select("frame_key", "batch", "status_code", "response", "error")
