@@ -542,7 +542,7 @@ def q_mask_turn(spark, d):
     return back.select("idx", G.run_area(F.col("r")).cast("bigint").alias("area"), F.size("counts").alias("n_counts"), F.get("counts", F.lit(0)).alias("lead"), F.size("r").alias("n_runs"), F.get("r", F.lit(0))["x0"].alias("x0"), F.try_element_at("r", F.lit(-1))["y"].alias("last"))
 
 
-@query(f"WITH {RECTS} SELECT idx, CASE WHEN idx % 7 > 0 THEN (w * h)::BIGINT END AS area, CASE WHEN idx % 7 > 0 THEN x::DOUBLE END AS x1, CASE WHEN idx % 7 > 0 THEN (y + h)::DOUBLE END AS y2, idx % 7 = 0 AS unknown FROM r")
+@query(f"WITH {RECTS} SELECT idx, CASE WHEN idx % 7 > 0 THEN (w * h)::DOUBLE END AS area, CASE WHEN idx % 7 > 0 THEN x::DOUBLE END AS x1, CASE WHEN idx % 7 > 0 THEN (y + h)::DOUBLE END AS y2, idx % 7 = 0 AS unknown FROM r")
 def q_mask_images(spark, d):
     """PNG images of five kinds (grey, one bit, palette, colour with alpha, sixteen bits) under three names; a cut one says nothing."""
     masks = M.fill(rects(spark, d), ["idx"], 64, 64).withColumn("image", M.as_png()(F.col("runs"), F.lit(64), F.lit(64), F.col("idx") % 5))
@@ -552,7 +552,7 @@ def q_mask_images(spark, d):
     mask = F.when(form == 0, F.to_json(F.struct(text.alias("png")))).when(form == 1, F.to_json(F.struct(F.concat(F.lit("data:image/png;base64,"), text).alias("base64")))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
     side = F.lit(64)
     out = E.with_decoded(masks.select("idx", mask.alias("mask")), "mask", "d", side, side, side, side, F.lit(0.5)).withColumn("box", G.run_box(F.col("d.runs")))
-    return out.select("idx", F.when(F.col("d.runs").isNotNull(), G.run_area(F.col("d.runs")).cast("bigint")).alias("area"), F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"), F.col("d.unknown").alias("unknown"))
+    return out.select("idx", F.when(F.col("d.runs").isNotNull(), G.run_area(F.col("d.runs")).cast("double")).alias("area"), F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"), F.col("d.unknown").alias("unknown"))
 
 
 def in_tiles(runs: DataFrame, side: int) -> DataFrame:
