@@ -34,6 +34,12 @@ def trimmed(f):
     return run
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """Hand whole texts to Python workers by batches of about this size: an executor holds each batch several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

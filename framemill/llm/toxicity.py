@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACES, U64, mix, table, trimmed, words_of
+from .common import SPACES, U64, mix, small_batches, table, trimmed, words_of
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -162,7 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(small_batches(spark), sf_dir, "documents")
     weights = train(training_rows(docs, table(spark, sf_dir, "labels")))
     scored = score(docs.select("doc_id", "text"), weights)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
