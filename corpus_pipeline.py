@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framemill.llm import curriculum, decontaminate, jaccard, sharding, toxicity
-from framemill.llm.common import Scratch, table
+from framemill.llm.common import Scratch, small_batches, table
 from framemill.session import ship
 
 #: A list of rows up to this size (20 MB) is broadcast; a longer one is joined by shuffling.
@@ -47,7 +47,7 @@ def _one_of_each(tagged: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(small_batches(spark))
     weights = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, weights, keep=tuple(docs.columns), out="_toxicity")
     return scored.where(F.col("_toxicity") < toxicity.REJECT).select(*docs.columns)
@@ -55,7 +55,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with words, one of each class stays: the smallest doc_id, then the smallest hash."""
-    ship(spark)
+    ship(small_batches(spark))
     scratch, tagged = Scratch(spark), _tagged(docs)
     classes = jaccard.ngram_jaccard(tagged, n=5, similarity=(4, 5), keep=tuple(SAME))
     classes = scratch.save(classes.where("node is not null").select("doc_id", *SAME, "node"), "classes")
@@ -69,7 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(small_batches(spark))
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return found.where(~decontaminate.is_contaminated()).select(*docs.columns)
 
