@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -200,6 +201,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+#: Windows as strings, joined with the runs of each window length in the documents.
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+p AS (SELECT *, least({WINDOW}, len(w)) AS m FROM (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS words FROM p),
+runs AS (SELECT doc_id, m, list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' ')) AS r FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m),
+found AS (SELECT doc_id, a.m, k, item_id FROM (SELECT doc_id, m, unnest(r) AS words, generate_subscripts(r, 1) AS k FROM runs) a JOIN win ON a.m = win.m AND a.words = win.words),
+hit AS (SELECT doc_id, count(DISTINCT h) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS h FROM (SELECT DISTINCT doc_id, m, k FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:
     """The contract by plain loops, for tests."""
     import re

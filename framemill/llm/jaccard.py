@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -442,6 +443,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, similarity=(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+#: Pairs by a join on shingles, classes by recursion; for small tables, as a shingle of m documents makes m * m / 2 rows.
+OP2_SQL = rf"""
+WITH RECURSIVE s AS (SELECT doc_id, list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w WHEN 2 THEN [w[1] || ' ' || w[2]] ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS g
+  FROM (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents)),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS words FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS same FROM e a JOIN e b ON a.words = b.words AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * same >= 90 * (n - same)),
+way AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, way.b FROM reach JOIN way ON reach.other = way.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], n: int, similarity: tuple[int, int]) -> list[tuple]:
     """The contract by comparing pairs through an inverted index, for tests."""
     p, q = similarity
