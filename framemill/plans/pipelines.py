@@ -15,16 +15,20 @@ def _order(sort_by: str):
 
 
 def postprocess_boxes(df: DataFrame, frame: list[str], p: SegmentationParams) -> tuple[DataFrame, DataFrame]:
-    """(instances, stats) of box-only segmentation: filters, suppression, order, limit, clipped and rounded output.
+    """(instances, stats) of box-only segmentation: filters, suppression, merging, order, limit, clipped and rounded output.
 
-    df has the frame columns, idx, score, label, box, image_width, image_height.
+    df has the frame columns, idx, score, label, box, image_width, image_height. There are no masks here: require_mask
+    drops every row, rules on mask areas apply to none, and nms="mask" compares boxes, as it does wherever a mask is missing.
     """
-    tagged = df.withColumn("drop_reason", I.drop_reason(F.col("score"), F.col("label"), p.confidence_threshold, p.allowed_labels, p.denied_labels))
-    stats = I.funnel(tagged, frame, ["confidence", "label"])
+    reason = I.drop_reason(F.col("score"), F.col("label"), p.confidence_threshold, p.allowed_labels, p.denied_labels)
+    tagged = df.withColumn("drop_reason", F.coalesce(reason, F.lit("no_mask")) if p.require_mask else reason)
+    stats = I.funnel(tagged, frame, ["confidence", "label", "no_mask"])
     live = tagged.where("drop_reason is null").withColumn("area", G.area(G.box_or_zero(F.col("box")))).withColumn("lab", F.col("label"))
     if p.nms != "none":
         sim = lambda a, b: G.iou(G.box_or_zero(a["box"]), G.box_or_zero(b["box"]))
         live = I.suppress(live, frame, sim, p.iou_threshold, ["label", "box", "area", "image_width", "image_height"], None if p.class_agnostic_nms else F.col("lab"))
+    if p.merge_same_label:  # of each label the best-scored row stays
+        live = I.merge_by_label(live, frame).drop("merged_from")
     kept = I.top_k(live, frame, _order(p.sort_by), p.max_detections)
     b = G.clip(F.col("box"), F.col("image_width"), F.col("image_height")) if p.clip_to_image else F.col("box")
     out = kept.withColumn("box", b)
