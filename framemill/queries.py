@@ -262,9 +262,17 @@ def q_joint_angles(spark, d):
     return poses(spark, d).select("frame", "idx", F.round(G.angle(k, 5, 7, 9), 2).alias("left_elbow"), F.round(G.angle(k, 12, 14, 16), 2).alias("right_knee"))
 
 
-@query()
+@query(f"""WITH {POSES.replace('p AS', 'every AS', 1)}, hidden AS (SELECT frame, idx, score, list_transform(kps, lambda k: {{'x': k.x, 'y': k.y, 'score': CASE WHEN k.score < 0.3 THEN 0.0::DOUBLE ELSE k.score END}}) AS kps FROM every WHERE score >= 0.3),
+p AS (SELECT * FROM hidden WHERE len(list_filter(kps, lambda k: k.score > 0)) >= 3), {OKS[len(POSES) + 2:]}, c AS (SELECT frame, j, list(i) AS hits FROM o WHERE oks > 0.7 GROUP BY frame, j),
+g AS (SELECT p.frame, list({{'idx': p.idx, 'h': coalesce(c.hits, [])}} ORDER BY p.score DESC, p.idx) AS a FROM p LEFT JOIN c ON p.frame = c.frame AND p.idx = c.j GROUP BY p.frame),
+stays AS (SELECT frame, unnest(list_reduce(list_transform(a, lambda e: [e.idx]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: len(list_filter(a, lambda q: q.idx = x[1] AND list_contains(q.h, k))) > 0)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS idx FROM g),
+s AS (SELECT *, list_filter(kps, lambda k: k.score > 0) AS s, row_number() OVER (PARTITION BY frame ORDER BY score DESC, idx) - 1 AS id FROM p SEMI JOIN stays USING (frame, idx))
+SELECT frame, id::INT AS id, idx AS source_index, 'person' AS label, round_even(score, 6) AS score, len(s)::INT AS num_visible_keypoints, round_even(list_sum(list_transform(s, lambda k: k.score)) / len(s), 6) AS mean_keypoint_score,
+  round_even(list_min(list_transform(s, lambda k: k.x)), 2) AS x1, round_even(list_min(list_transform(s, lambda k: k.y)), 2) AS y1, round_even(list_max(list_transform(s, lambda k: k.x)), 2) AS x2, round_even(list_max(list_transform(s, lambda k: k.y)), 2) AS y2,
+  {', '.join(f'{_angle_sql(*t)} AS {n}' for n, t in G.COCO17_ANGLES)} FROM s WHERE id < 300""")
 def q_e2e_pose(spark, d):
-    return pipelines.postprocess_poses(poses(spark, d), ["frame"], PoseParams(compute_angles=True))[0]
+    out = pipelines.postprocess_poses(poses(spark, d), ["frame"], PoseParams(compute_angles=True))[0]
+    return out.select(*[c for c in out.columns if c != "angles"], *[F.col("angles")[n].alias(n) for n, _ in G.COCO17_ANGLES])
 
 
 # ------------------------------------------------------------------------------------------------------ temporal
