@@ -108,7 +108,9 @@ def segmentation(inst: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFram
     left = saved(left, "left")
     boxes = _pairs(left.where("not by_mask and nms <> 'none'"), ["near_box", "limit"]).where(G.iou(F.col("a.near_box"), F.col("b.near_box")) > F.col("a.limit"))
     shapes = M.overlap(left.where("by_mask"), FRAME, "source_index").withColumnRenamed("iou", "_iou")
-    shapes = _pairs(left.where("by_mask"), ["limit"]).join(shapes, FRAME).where((F.col("a.source_index") == F.col("i")) & (F.col("b.source_index") == F.col("j")) & (F.col("_iou").cast("float") > F.col("a.limit").cast("float")))
+    mate = lambda at, n: left.where("by_mask").select(*FRAME, F.col("source_index").alias(at), F.struct(_group_label().alias("lab"), "agnostic", "limit").alias(n))
+    shapes = shapes.join(mate("i", "a"), [*FRAME, "i"]).join(mate("j", "b"), [*FRAME, "j"])  # overlaps alone, never a frame's pairs
+    shapes = shapes.where((F.col("a.agnostic") | F.col("a.lab").eqNullSafe(F.col("b.lab"))) & (F.col("_iou").cast("float") > F.col("a.limit").cast("float")))
     pairs = boxes.select(*FRAME, "a", "b").select(*FRAME, F.col("a.source_index").alias("i"), F.col("b.source_index").alias("j")).union(shapes.select(*FRAME, "i", "j"))
     kept = saved(I.suppress_pairs(left, FRAME, pairs, index="source_index"), "kept")
     merged = _merged(kept)
