@@ -96,7 +96,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("benchmark", drop_contaminated), ("mixing", mix), ("sharding", shard)]
 
-#: The trained model and the classes of linked documents are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: The trained model is beyond SQL; tests/llm/test_pipeline.py holds near_copies and benchmark against brute force, the other stages to invariants.
 ORACLE_SQL = None
 
 
