@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, trimmed
-from .tokens import TOKENIZER, _encoder, _tokenizer_path
+from .tokens import TOKENIZER, _encoder, _tokenizer_path, text_runs
 
 SIZE, END_ID = 2048, 1
 #: Gaps up to this many tokens stay as padding: at most 1 % of a sequence.
 GAP = 16
 BROADCAST_ROWS = 1_000_000
-#: Texts or pieces that a task turns at once.
+#: Pieces that a task turns at once.
 ROWS = 256
 
 #: (length, first rank, first token, tokens): one piece of each pack of a group, ranks ascending with the packs.
@@ -189,9 +189,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE,
         width = encoder.kind.itemsize
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                raw = [e + end for e in encoder.encode(part.column(1).to_pylist())]
+            for lo, rows in text_runs(b.column(1)):
+                part = b.slice(lo, rows)
+                raw = [e + end for e in encoder.encode(part.column(1))]
                 total = np.array([len(r) // width for r in raw])
                 n = -(-total // size)
                 row = np.repeat(np.arange(len(raw)), n)

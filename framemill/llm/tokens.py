@@ -9,8 +9,10 @@ file system and a lost executor are fine; they are read back with the binaryFile
 its own: file, offset, length, doc_id, n_tokens, and the token position in its file.
 
 Texts are split where no token can span: before a space between two non-spaces and, in texts without runs of white
-space, around line feeds. Distinct pieces are encoded by the tokenizers library, many in one call, and kept in a bounded
-memo per worker; a text with an added token of the tokenizer (its own id, as in the plain call) is encoded whole.
+space, around line feeds, by Arrow. A batch's pieces become a dictionary, so that Python sees each distinct one once; new
+ones are encoded by the tokenizers library, many in one call, and kept in a bounded memo per worker. The ids of all pieces are
+gathered by their numbers in the dictionary. A text with an added token of the tokenizer (its own id, as in the plain call) is
+encoded whole.
 
 Defined cases: a null text is empty and has the end id alone; repeated doc_ids get adjacent records; a null doc_id
 sorts first and is kept as null; an empty table writes nothing and gives no rows; extra columns are ignored.
@@ -23,9 +25,11 @@ import re
 import string
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +37,15 @@ from .common import Scratch, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: The memo holds up to MEMO pieces of up to MEMO_KEY characters; CALL new ones are encoded in one call of the library.
-FILE_BYTES, MEMO, MEMO_KEY, CALL = 16 << 20, 600_000, 64, 4096
+FILE_BYTES, MEMO, MEMO_KEY, CALL = 16 << 20, 600_000, 64, 1024
+#: Bytes of texts whose pieces share a dictionary.
+RUN_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 _MASK = 0xA282EAD8  # fixed value of the record format
 
-_RUNS, _ALONE = re.compile(r"\s\s|[\x1c-\x1f]"), re.compile(r"(?<=\S) (?=\S)")
+HEAD, SPACE = "\x1c", "\u0120"  # marks the first piece of a text; a space as byte-level vocabularies write it
+_RUNS = r"[\s\v\x85\p{Z}]{2}|[\x1c-\x1f]"  # for Arrow, whose \s is ASCII's without the vertical tab
+_ALONE = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, tuple] = {}
 
 
@@ -63,15 +71,6 @@ def unframe(data: memoryview):
         at += n + 17
 
 
-class _Memo(dict):
-    """Ids by key; a key that is not kept is looked up among the ids of the batch at hand."""
-
-    batch: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        return self.batch[key]
-
-
 class Encoder:
     """Ids of texts as bytes of a fixed width, through a bounded memo of pieces."""
 
@@ -82,51 +81,91 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = _Memo()
+        self.memo: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that start with a space
+        self.opens[[i for token, i in vocab.items() if token[0:1] == SPACE]] = True
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, encoded as one text: no token spans two, and offsets tell which piece a token is of."""
-        e = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        raw, width = np.array(e.ids, dtype=self.kind).tobytes(), self.kind.itemsize
-        starts = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e.ids))
-        bounds = np.cumsum([0, *map(len, pieces)])
-        ends = (np.searchsorted(starts, bounds) * width).tolist()
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word, encoded as one text: no token spans two, and only a word's first one starts with a space."""
+        e = self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0]
+        ids = np.array(e.ids, dtype=self.kind)
+        raw, ends = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip(ends, ends[1:])]
 
-    def keys(self, text: str) -> list[str] | None:
-        """Pieces in order: a bare key stands for a space and itself, one that starts with a line feed for itself, and
-        one that starts with a space (the text's head) for what follows. None: the text has an added token."""
-        if any(t in text for t in self.added):
-            return None
-        parts = _ALONE.split(text) if _RUNS.search(text) else text.replace("\n", " \n").split(" ")
-        parts[0] = " " + parts[0]
-        return parts
+    @staticmethod
+    def keys(texts: pa.Array, runs: bool) -> pa.Array:
+        """A list of pieces for each text, in order: a bare key stands for a space and itself, one that starts with a line
+        feed for itself, and one that starts with HEAD for what follows. runs: the texts have runs of white space."""
+        if runs:
+            return pa.array([_ALONE.split(HEAD + t) for t in texts.to_pylist()], pa.list_(pa.large_string()))
+        return pc.split_pattern(pc.utf8_replace_slice(pc.replace_substring(texts, "\n", " \n"), 0, 0, HEAD), " ")
 
     def fill(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of keys that the memo lacks."""
-        piece = {k: k[1:] if k[0:1] == " " else k if k[0:1] == "\n" else " " + k for k in keys}
         # a text's head may not follow another piece, white space at an end may not precede one
-        alone = [k for k in keys if k[0:1] == " " or k[-1:].isspace() or not k]
-        got = dict(zip(alone, self.raw([piece[k] for k in alone])))
+        alone = {k: k[1:] if k[0:1] == HEAD else k if k[0:1] == "\n" else " " + k for k in keys if not k or k[0] in HEAD + "\n" or " " in k or k[-1].isspace()}
+        got = dict(zip(alone, self.raw([*alone.values()])))
         rest = [k for k in keys if k not in got]
         for lo in range(0, len(rest), CALL):
             part = rest[lo : lo + CALL]
-            got.update(zip(part, self.apart([piece[k] for k in part])))
+            got.update(zip(part, self.apart(part), strict=True))
         return got
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, split = self.memo, [self.keys(t) for t in texts]
-        new = [k for k in set().union(*[s for s in split if s]) if k not in memo]
+    def ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys."""
+        memo = self.memo
+        found = list(map(memo.get, keys))
+        new = [k for k, v in zip(keys, found) if v is None]
         cut = {k: w for k in new if (w := k.rstrip(string.punctuation)) != k and w[-1:].isalnum()}  # tokens end between a word and its marks
-        parts = {*cut.values(), *[" " + k[len(w) :] for k, w in cut.items()], *[k for k in new if k not in cut]}
-        got = self.fill([k for k in parts if k not in memo])
-        memo.batch = got
-        got.update([(k, memo[w] + memo[" " + k[len(w) :]]) for k, w in cut.items()])
-        memo.update([(k, got[k]) for k in list(got)[: max(0, MEMO - len(memo))] if len(k) <= MEMO_KEY])
-        return [self.raw([t])[0] if s is None else b"".join(map(memo.__getitem__, s)) for t, s in zip(texts, split)]
+        parts = {*cut.values(), *[HEAD + k[len(w) :] for k, w in cut.items()], *[k for k in new if k not in cut]}
+        got = {k: v for k in parts if (v := memo.get(k)) is not None}
+        fresh = self.fill([k for k in parts if k not in got])
+        got.update(fresh)
+        whole = [(k, got[w] + got[HEAD + k[len(w) :]]) for k, w in cut.items()]
+        got.update(whole)
+        memo.update([(k, v) for k, v in [*fresh.items(), *whole][: max(0, MEMO - len(memo))] if len(k) <= MEMO_KEY])
+        return [got[k] if v is None else v for k, v in zip(keys, found)]
+
+    def joined(self, lists: pa.Array) -> list[bytes]:
+        """Ids of the texts whose keys are given."""
+        coded = lists.flatten().dictionary_encode()
+        ids, key, width = self.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy(), self.kind.itemsize
+        flat, size = np.frombuffer(b"".join(ids), dtype=self.kind), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
+        n = size[key]
+        end = np.cumsum(n)
+        raw = flat[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[key] - (end - n), n)].tobytes()
+        cuts = (np.concatenate(([0], end))[lists.offsets.to_numpy()] * width).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        added = np.zeros(len(texts), dtype=bool)
+        for t in self.added:
+            added |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for kind in (False, True):
+            rows = np.flatnonzero(~added & (runs == kind))
+            if len(rows):
+                for i, ids in zip(rows.tolist(), self.joined(self.keys(texts.take(pa.array(rows)), kind))):
+                    out[i] = ids
+        for i in np.flatnonzero(added).tolist():
+            out[i] = self.raw([texts[i].as_py()])[0]
+        return out
+
+
+def text_runs(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of up to size bytes; a longer text is a run of its own."""
+    end = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] + size, side="right")) - 1)
+        yield lo, hi - lo
+        lo = hi
 
 
 def _encoder(path: str) -> Encoder:
@@ -152,8 +191,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, id_col
         end = np.array([END_ID], dtype=encoder.kind).tobytes()
         width = bytes([encoder.kind.itemsize])
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist()
+            for lo, n in text_runs(b.column(1)):
+                ids, texts = b.column(0).slice(lo, n).to_pylist(), b.column(1).slice(lo, n)
                 out = [frame(struct.pack("<q", NO_ID if i is None else i) + width + e + end)[:-1] for i, e in zip(ids, encoder.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
