@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..tables import saved
 
 #: Columns a run takes part in when it looks for neighbours in the next row; it only bounds what one cell holds.
 CELL = 256
+#: Masks that are turned at once.
+CHUNK = 256
 
 # ----------------------------------------------------------------------------------------------------- one mask
 
@@ -24,41 +28,83 @@ def listed(y, a, b) -> list[dict]:
 
 
 def turned(line: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint intervals [a, b) of lines as longest intervals of the lines that cross them, in order.
+    """Disjoint intervals [a, b) of lines as longest intervals of the lines that cross them, in order."""
+    return turned_each(np.zeros_like(line), line, a, b)[1:]
+
+
+def turned_each(mask: np.ndarray, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """turned() of many masks at once; mask rises.
 
     A sweep over the places where a line differs from the one before: there a crossing interval begins or ends. Takes
     memory of the intervals on both sides, whatever the canvas.
     """
     if not len(line):
-        return line, a, b
-    w, one = int(b.max()) + 1, np.ones(len(line), np.int64)
-    key = np.concatenate((line * w + a, line * w + b, (line + 1) * w + a, (line + 1) * w + b))
+        return mask, line, a, b
+    w, s = int(b.max()) + 1, int(line.max()) + 2
+    row = mask * s + line
+    # an interval that the next line has too begins and ends nothing between them
+    n = np.diff(np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))))
+    below = np.arange(len(row)) + np.repeat(n, n)
+    near = np.minimum(below, len(row) - 1)
+    goes_on = (below < len(row)) & (row[near] == row + 1) & (a[near] == a) & (b[near] == b)
+    first = np.ones(len(row), bool)
+    first[below[goes_on]] = False
+    top, end = row[first] * w, (row[~goes_on] + 1) * w
+    one, two = np.ones(len(top), np.int64), np.ones(len(end), np.int64)
+    key = np.concatenate((top + a[first], top + b[first], end + a[~goes_on], end + b[~goes_on]))
     order = np.argsort(key, kind="stable")
-    key, level = key[order], np.cumsum(np.concatenate((one, -one, -one, one))[order])
+    key, level = key[order], np.cumsum(np.concatenate((one, -one, -two, two))[order])
     last = np.append(key[1:] != key[:-1], True)
     key, level = key[last], level[last]
 
     def cells(sign: int) -> np.ndarray:
-        """Crossing line and place of the cells where something begins (1) or ends (-1), sorted."""
+        """Mask, crossing line and place of the cells where something begins (1) or ends (-1), sorted."""
         k = np.flatnonzero(level == sign)
         n = key[k + 1] - key[k]
-        at = np.repeat(key[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        y, x = np.divmod(at, w)
-        return np.stack((x, y))[:, np.lexsort((y, x))]
+        r, x = np.divmod(key[k], w)
+        m, y = np.divmod(r, s)
+        x = np.repeat(x - np.cumsum(n) + n, n) + np.arange(n.sum())
+        m, y = np.repeat(m, n), np.repeat(y, n)
+        return np.stack((m, x, y))[:, np.argsort((m * w + x) * s + y, kind="stable")]
 
-    begin, end = cells(1), cells(-1)
-    return begin[0], begin[1], end[1]
+    begin, stop = cells(1), cells(-1)
+    return begin[0], begin[1], begin[2], stop[2]
 
 
-def cut_lines(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans [a, b) of a flat sequence as intervals of lines of the given length."""
-    a, b = a[b > a], b[b > a]
+def cut_lines(a: np.ndarray, b: np.ndarray, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans [a, b) of a flat sequence as intervals of lines of the given length (one, or one a span); spans aren't empty."""
     first = a // length
     n = (b - 1) // length - first + 1
-    line = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    line = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    length = np.repeat(np.broadcast_to(length, n.shape), n)
     return line, np.maximum(np.repeat(a, n) - line * length, 0), np.minimum(np.repeat(b, n) - line * length, length)
 
 
+def columns(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mask (its place in the array), y, x0 and x1 of all runs of an array of masks, without empty ones."""
+    n = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    flat = runs.flatten()
+    y, a, b = (pc.struct_field(flat, [c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x0", "x1"))
+    some = b > a
+    return np.repeat(np.arange(len(runs)), n)[some], y[some], a[some], b[some]
+
+
+def lists(n: np.ndarray, values: pa.Array, none: np.ndarray | None = None) -> pa.ListArray:
+    """An array of lists of n values each; none marks those that are null."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), values, mask=None if none is None else pa.array(none))
+
+
+def masks(n: int, mask: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, none: np.ndarray | None = None) -> pa.ListArray:
+    """columns() undone, for n masks."""
+    values = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (y, a, b)], names=["y", "x0", "x1"])
+    return lists(np.bincount(mask, minlength=n), values, none)
+
+
+def in_chunks(size: int):
+    """Slices of so many masks that a sweep's arrays stay small."""
+    return [slice(k, min(k + CHUNK, size)) for k in range(0, max(size, 1), CHUNK)]
+
+
 def gaps(runs: list[dict], w: int, h: int) -> list[dict]:
     """The background's runs."""
     out, k = [], 0

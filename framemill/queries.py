@@ -20,7 +20,7 @@ from .sources import payload as P
 from .sources import sink
 from .streaming import chain as K
 from .streaming import smoothing as S
-from .tables import shared_folder
+from .tables import shared_folder, spread
 
 QUERIES, SQL = {}, {}
 
@@ -427,22 +427,24 @@ HOLED = "g AS (SELECT frame, idx, x, y, w, h, CASE WHEN w >= 5 AND h >= 4 THEN (
 
 def holed(spark, d) -> DataFrame:
     """Rectangles with a hole where there is room for one, as JSON masks in turn as rings, counts, compressed counts, a bitmap, and raw bytes."""
-    p = spark.read.parquet(f"{d}/part.parquet")
+    p = spread(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
     x, y, w, h = (F.col(c) for c in "xywh")
     p = p.select(F.floor(F.col("p_partkey") / 8).alias("frame"), F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 40).cast("int").alias("x"), (F.col("p_size") % 30).cast("int").alias("y"), (F.col("p_partkey") % 13 + 3).cast("int").alias("w"), (F.col("p_size") % 11 + 2).cast("int").alias("h"))
     ring = lambda a, b, c, e: F.array(a, b, c, b, c, e, a, e)
     room = (w >= 5) & (h >= 4)
     rings = F.when(room, F.array(ring(x, y, x + w, y + h), ring(x + 2, y + 1, x + w - 2, y + h - 1))).otherwise(F.array(ring(x, y, x + w, y + h)))
-    inside = lambda c, r: (c >= x) & (c < x + w) & (r >= y) & (r < y + h) & ~(room & (c >= x + 2) & (c < x + w - 2) & (r >= y + 1) & (r < y + h - 1))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: F.when(inside(c, r), 1).otherwise(0)))
+    # a row without pixels, one across the rectangle, and one across its hole; the text of the canvas is made of their texts
+    text = lambda zero, one, holed: F.concat(F.repeat(F.lit(zero), x), F.when(F.lit(holed) & room, F.concat(F.lit(one * 2), F.repeat(F.lit(zero), w - 4), F.lit(one * 2))).otherwise(F.repeat(F.lit(one), w)), F.repeat(F.lit(zero), 64 - x - w))
+    down = lambda zero, one, line: F.concat(F.repeat(line(F.repeat(F.lit(zero), F.lit(64))), y), line(text(zero, one, False)), F.repeat(line(text(zero, one, True)), h - 2), line(text(zero, one, False)), F.repeat(line(F.repeat(F.lit(zero), F.lit(64))), 64 - y - h))
+    rows = F.concat(F.lit("["), F.rtrim(down("0,", "1,", lambda t: F.concat(F.lit("["), F.rtrim(t, F.lit(",")), F.lit("],"))), F.lit(",")), F.lit("]"))
     column = F.transform(F.sequence(F.lit(0), w - 1), lambda c: F.when(room & (c >= 2) & (c < w - 2), F.array(F.lit(1), h - 2, F.lit(1), 64 - h)).otherwise(F.array(h, 64 - h)))
     runs = F.flatten(column)
     counts = F.concat(F.array(x * 64 + y), F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(64 * 64 - (x + w - 1) * 64 - y - h))
-    p = p.withColumns({"rings": rings, "rows": rows, "counts": F.transform(counts, lambda v: v.cast("bigint"))})
-    size = F.array(F.lit(64), F.lit(64))
-    raw = F.base64(F.unhex(F.array_join(F.transform(F.flatten("rows"), lambda b: F.when(b == 1, "FF").otherwise("00")), "")))
     form = F.col("idx") % 5
-    mask = F.when(form == 0, F.to_json("rings")).when(form == 1, F.to_json(F.struct(size.alias("size"), "counts"))).when(form == 2, F.to_json(F.struct(size.alias("size"), M.leb_encoded(F.col("counts")).alias("counts")))).when(form == 3, F.to_json("rows")).otherwise(F.to_json(F.struct(F.regexp_replace(raw, "[\\r\\n]", "").alias("base64"), size.alias("size"))))
+    p = p.withColumn("counts", F.when(form.isin(1, 2), F.transform(counts, lambda v: v.cast("bigint")))).withColumn("short", M.leb_encoded(F.when(form == 2, F.col("counts"))))
+    size = F.array(F.lit(64), F.lit(64))
+    raw = F.base64(F.unhex(down("00", "FF", lambda t: t)))
+    mask = F.when(form == 0, F.to_json(rings)).when(form == 1, F.to_json(F.struct(size.alias("size"), "counts"))).when(form == 2, F.to_json(F.struct(size.alias("size"), F.col("short").alias("counts")))).when(form == 3, rows).otherwise(F.to_json(F.struct(F.regexp_replace(raw, "[\\r\\n]", "").alias("base64"), size.alias("size"))))
     return p.select("frame", "idx", "w", "h", mask.alias("mask"))
 
 

@@ -84,6 +84,18 @@ def number(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
 
+def numbers(v: Column) -> Column:
+    """number() of each element of a list; one of plain numbers is read from its text at once."""
+    plain = lambda t: F.when(t.rlike(r"^\[[0-9.eE+,-]*\]$"), F.from_json(t, "array<double>"))
+    return F.coalesce(let(F.try_variant_get(v, "$", "string"), plain), F.try_variant_get(v, "$", "array<double>"))
+
+
+def number_rows(v: Column) -> Column:
+    """numbers() of each element of a list; a row that is no list is null."""
+    plain = lambda t: F.when(t.rlike(r"^\[\[[\[\]0-9.eE+,-]*\]\]$"), F.from_json(t, "array<array<double>>"))
+    return F.coalesce(let(F.try_variant_get(v, "$", "string"), plain), F.try_variant_get(v, "$", "array<array<double>>"))
+
+
 def given(v: Column) -> Column:
     """v unless it is JSON's null."""
     return F.when(~F.is_variant_null(v), v)

@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt out by key to as many tasks as shuffles have: for rows that are few bytes in a file, but much work.
+
+    Batches of what such rows become reach Python workers by 4 MB, for an executor holds each several times.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *key)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

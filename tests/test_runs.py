@@ -9,10 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framemill import queries as Q
 from framemill.functions import png
 from framemill.operators import encodings as E
 from framemill.operators import masks as M
 from framemill.operators import runs as N
+from framemill.sources import payload as P
 
 RNG = np.random.default_rng(5)
 MASKS = [RNG.random((h, w)) < p for h, w, p in [(12, 17, 0.6), (1, 1, 1.0), (1, 9, 0.5), (9, 1, 0.5), (30, 31, 0.2), (30, 31, 0.9), (7, 5, 0.0), (7, 5, 1.0)]]
@@ -131,6 +133,21 @@ def test_united(spark):
     assert N.components(got.where("k = 9"), ["k"]).count() == 0
 
 
+def test_mask_work_is_dealt_out(spark):
+    """Masks are few bytes in a file, but much work: no query of theirs leaves them to one task."""
+    d = "/root/testdata/sf0.001"
+    assert min(q.rdd.getNumPartitions() for q in (Q.holed(spark, d), Q.q_mask_decode(spark, d))) >= 4
+
+
+def test_numbers_of_lists(spark):
+    """What is read from the text at once is what each element says."""
+    texts = ['[1,"x",2.5,null]', '[1,true,"3",[1]]', "[]", "[1e30,-2.5E-3,12345678901234567890123]", "7", '{"a":1}', '["NaN"]', "[[1,2],[3]]", '[[1,2],[3,"x"],[]]', "[[1],2,[3]]", "[[[1]]]"]
+    v = F.try_parse_json("s")
+    each = F.transform(P.as_list(v), P.number), F.transform(P.as_list(v), lambda r: F.transform(P.as_list(r), P.number))
+    for r in spark.createDataFrame([(t,) for t in texts], "s string").select("s", each[0], P.numbers(v), each[1], P.number_rows(v)).collect():
+        assert str(r[1]) == str(r[2]) and str(r[3]) == str(r[4]), r.s
+
+
 # ------------------------------------------------------------------------------------------------------------- images
 
 
