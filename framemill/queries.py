@@ -544,7 +544,7 @@ def q_mask_resample(spark, d):
 @query(f"WITH {RECTS} SELECT idx, (w * h * 4096)::BIGINT AS area, (2 * 64 * w + 1)::INT AS n_counts, (64 * x * 4096 + 64 * y)::BIGINT AS lead, (64 * h)::INT AS n_runs, (64 * x)::INT AS x0, (64 * y + 64 * h - 1)::INT AS last FROM r")
 def q_mask_turn(spark, d):
     """Rectangles on a canvas of 4096 x 4096 to column-major counts and back to rows, in memory of their runs."""
-    p = rects(spark, d).select("idx", F.col("points")[0].alias("a"), F.col("points")[2].alias("b"))
+    p = spread(rects(spark, d), "idx").select("idx", F.col("points")[0].alias("a"), F.col("points")[2].alias("b"))
     runs = F.transform(F.sequence((F.col("a.y") * 64).cast("int"), (F.col("b.y") * 64 - 1).cast("int")), lambda y: F.struct(y.alias("y"), (F.col("a.x") * 64).cast("int").alias("x0"), (F.col("b.x") * 64).cast("int").alias("x1")))
     side = F.lit(4096)
     rows = p.select("idx", runs.alias("runs")).withColumn("counts", M.encode_counts()(F.col("runs"), side, side)).withColumn("mask", F.to_json(F.struct(F.array(side, side).alias("size"), "counts")))

@@ -136,7 +136,7 @@ def test_united(spark):
 def test_mask_work_is_dealt_out(spark):
     """Masks are few bytes in a file, but much work: no query of theirs leaves them to one task."""
     d = "/root/testdata/sf0.001"
-    assert min(q.rdd.getNumPartitions() for q in (Q.holed(spark, d), Q.q_mask_decode(spark, d))) >= 4
+    assert min(q.rdd.getNumPartitions() for q in (Q.holed(spark, d), Q.q_mask_decode(spark, d), Q.q_mask_turn(spark, d))) >= 4
 
 
 def test_numbers_of_lists(spark):
