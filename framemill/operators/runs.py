@@ -206,16 +206,42 @@ def components(runs: DataFrame, key: list[str], diagonal: bool = True) -> DataFr
     return named.join(roots, "id", "left").select(*key, "y", "x0", "x1", root["y"].alias("cy"), root["x0"].alias("cx"))
 
 
+def _gaps(rows: DataFrame, key: list[str], width: Column, height: Column) -> DataFrame:
+    """Rectangles (key, y0, y1, x0, x1) of the background between two runs of a row, as high as nothing changes; open: whether it
+    lies at the border, or meets an empty row or the background beside all runs of the row above or below. Ends are exclusive."""
+    w, h = width.cast("int"), height.cast("int")
+    between = rows.where("_from is not null").select(*key, "y", F.col("_from").alias("x0"), F.col("x0").alias("x1"))
+    n = F.row_number().over(Window.partitionBy(*key, "x0", "x1").orderBy("y"))
+    rects = between.withColumn("_band", F.col("y") - n).groupBy(*key, "x0", "x1", "_band").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("_band")
+    ends = rows.where("_from is null")
+    for side, at in (("_above", F.col("y") + 1), ("_below", F.col("y"))):
+        row = ends.select(*key, at.alias("y0" if side == "_above" else "y1"), F.struct(F.col("x0").alias("first"), F.col("_end").alias("last")).alias(side))
+        rects = rects.join(row, [*key, "y0" if side == "_above" else "y1"], "left")
+    meets = lambda r: r.isNull() | ((r["first"] > 0) & (F.col("x0") <= r["first"])) | ((r["last"] < w) & (F.col("x1") >= r["last"]))
+    border = (F.col("y0") <= 0) | (F.col("y1") >= h) | (F.col("x0") <= 0) | (F.col("x1") >= w)
+    return rects.select(*key, "y0", "y1", "x0", "x1", (border | meets(F.col("_above")) | meets(F.col("_below"))).alias("open"))
+
+
 def without_holes(runs: DataFrame, key: list[str], width: Column, height: Column) -> DataFrame:
-    """The union of runs with the background that touches no border of its canvas (width and height: expressions of the key's columns)."""
-    runs = saved(united(runs, key).select(*key, "y", "x0", "x1"), "united")
-    canvas = runs.select(*key).distinct().withColumns({"_w": width.cast("int"), "_h": height.cast("int")})
-    ends = canvas.select(*key, F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("y"), F.col("_w").alias("x0"), F.col("_w").alias("x1"))
-    # what lies between one run, or the left border, and the next, or the right border
-    before = F.coalesce(F.lag("x1").over(Window.partitionBy(*key, "y").orderBy("x0")), F.lit(0))
-    back = runs.union(ends).withColumn("_from", before).where("x0 > _from").select(*key, "y", F.col("_from").alias("x0"), F.col("x0").alias("x1"))
-    parts = components(back, key).join(canvas, key)
-    outer = (F.col("y") == 0) | (F.col("y") == F.col("_h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("_w"))
-    closed = parts.groupBy(*key, "cy", "cx").agg(F.max(outer).alias("open")).where("not open").drop("open")
-    holes = parts.join(closed, [*key, "cy", "cx"]).select(*key, "y", "x0", "x1")
-    return united(runs.select(*key, "y", "x0", "x1").union(holes), key)
+    """The union of runs with the background that touches no border of its canvas (width and height: expressions of the key's columns).
+
+    Only what lies between two runs of a row can be closed. Its equal rows are one rectangle, those that meet are closed by
+    joins, and a part is open if one of its rectangles is or meets one that is.
+    """
+    row = Window.partitionBy(*key, "y")
+    rows = united(runs, key).withColumns({"_from": F.lag("x1").over(row.orderBy("x0")), "_end": F.max("x1").over(row)})
+    rows = saved(rows.select(*key, "y", "x0", "x1", "_from", "_end"), "united")
+    rects = saved(_gaps(rows, key, width, height).withColumn("id", F.struct(*key, "y0", "x0")), "gaps")
+    cells = rects.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("x0") - 1) / CELL), F.floor(F.col("x1") / CELL))))
+    side = lambda s, y: cells.select(*key, F.col(y).alias("y"), "_cell", F.col("id").alias(s), F.col("open").alias(f"{s}_open"), F.col("x0").alias(f"{s}0"), F.col("x1").alias(f"{s}1"))
+    # where one row's background ends, what it meets below begins: else the two would touch within a row
+    met = side("a", "y1").join(side("b", "y0"), [*key, "y", "_cell"]).where("a0 <= b1 and b0 <= a1 and not (a_open and b_open)")
+    met = saved(met.select("a", "b", "a_open", "b_open"), "met")
+    holes = rects.where("not open")
+    if not met.isEmpty():
+        roots = _closed(met.where("not a_open and not b_open").select("a", "b"))
+        holes = holes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        seen = met.where("a_open").select(F.col("b").alias("id")).union(met.where("b_open").select(F.col("a").alias("id"))).distinct()
+        holes = holes.join(holes.join(seen, "id", "left_semi").select("root").distinct(), "root", "left_anti")
+    filled = holes.select(*key, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
+    return united(rows.select(*key, "y", "x0", "x1").union(filled), key)

@@ -133,6 +133,25 @@ def test_united(spark):
     assert N.components(got.where("k = 9"), ["k"]).count() == 0
 
 
+def test_closing_takes_no_background_by_row(spark, monkeypatch):
+    """A hole is one rectangle; 64 rows of background around it are none."""
+    sizes, keep = {}, N.saved
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "saved", counted)
+    m = np.zeros((64, 64), bool)
+    m[10:30, 10:30] = True
+    m[12:28, 14:20] = False
+    df = spark.createDataFrame([(i, M.to_runs(m)) for i in range(5)], f"i int, runs {M.RUNS}")
+    out = N.without_holes(N.exploded(df, ["i"]), ["i"], F.lit(64), F.lit(64))
+    assert out.agg(F.sum(F.col("x1") - F.col("x0"))).head()[0] == 5 * 400
+    assert sum(n for name, n in sizes.items() if name != "united") <= 5
+
+
 def test_mask_work_is_dealt_out(spark):
     """Masks are few bytes in a file, but much work: no query of theirs leaves them to one task."""
     d = "/root/testdata/sf0.001"
