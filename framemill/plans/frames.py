@@ -18,7 +18,7 @@ from ..operators import encodings as E
 from ..operators import instances as I
 from ..operators import masks as M
 from ..sources import payload as P
-from ..tables import saved
+from ..tables import saved_wide as saved
 
 FRAME = ["frame_key"]
 NO_BOX = "struct<x1:double,y1:double,x2:double,y2:double>"

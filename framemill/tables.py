@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A table of more rows is sent whole to no executor, however small its files are.
+MANY = 50_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one's own only on a local master, where it is unset."""
@@ -41,3 +44,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def saved_wide(df: DataFrame, name: str) -> DataFrame:
+    """saved() for wide rows that are much alike: their files say little of their size in memory, so joins go by rows.
+
+    Columns that repeat take next to nothing in a file. Spark goes by its size, and would gather such a table at the driver.
+    """
+    out = saved(df, name)
+    return out.hint("merge") if out.count() > MANY else out

@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from framemill import tables as T
 from framemill.plans import frames as R
 from framemill.sources import payload as P
 
@@ -132,3 +134,20 @@ def test_smoothing_forbids_unknown_keys(spark):
     got = {r.frame_key: (r.status_code, r.error) for r in R.run(df, task="pose").collect()}
     assert {k: v[0] for k, v in got.items()} == {"more": 422, "jump": 422, "text": 422, "fine": 200}
     assert json.loads(got["more"][1].removeprefix("invalid parameters: ")) == [{"param": "smoothing.beta", "message": "Extra inputs are not permitted", "received": "1"}]
+
+
+def test_large_tables_of_like_rows_are_not_gathered(spark):
+    """A megabyte of files may be a gigabyte of rows: joins of saved frames don't send them through the driver."""
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    rows = lambda n: spark.range(n).select(F.col("id").cast("string").alias("frame_key"), F.repeat(F.lit("x"), F.lit(1000)).alias("p"))
+    few, many = R.saved(rows(100), "few"), R.saved(rows(T.MANY + 1), "many")
+    other = spark.range(3_000_000).select(F.col("id").cast("string").alias("frame_key"))
+    assert "BroadcastHashJoin" in plan(other.join(few, "frame_key"))
+    for join in (other.join(many, "frame_key"), other.join(many.groupBy("frame_key").agg(F.max("p")), "frame_key", "left")):
+        assert "Broadcast" not in plan(join)
+
+
+def test_runs_without_broadcasts_are_the_same(spark, got, monkeypatch):
+    monkeypatch.setattr(T, "MANY", 0)
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in FRAMES.items()], "frame_key string, payload string")
+    assert {r.frame_key: (r.status_code, r.response and json.loads(r.response)) for r in R.run(df).collect()} == got
